@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from weftline.session import table
 
@@ -27,6 +28,48 @@ def p2_reliability(spark: SparkSession, folder: str) -> DataFrame:
     return c.coder_reliability(c.fit(table(spark, folder, "inter_annotator"))[1])
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    from weftline.llm import names
+
+    articles, groups = table(spark, folder, "articles_raw"), table(spark, folder, "actor_group_crosswalk")
+    typed = articles.select(F.explode(F.array("actor1name", "actor2name")).alias("n")).distinct().unionByName(groups.select(F.col("constituent_actor_name").alias("n")))
+    return names.map_names(typed, table(spark, folder, "actor"))
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    from weftline.llm import siteblocks
+
+    return siteblocks.repeated_lines(table(spark, folder, "articles_raw"))
+
+
+def p3_cleaned(spark: SparkSession, folder: str) -> DataFrame:
+    from weftline.llm import siteblocks
+
+    articles = table(spark, folder, "articles_raw")
+    return siteblocks.without_lines(articles, siteblocks.repeated_lines(articles))
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    from weftline.llm import residue
+
+    return residue.no_story_articles(table(spark, folder, "articles_raw"))
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    from weftline.llm import mainbody
+
+    return mainbody.furniture_lines(table(spark, folder, "articles_raw"))
+
+
+def p6_body(spark: SparkSession, folder: str) -> DataFrame:
+    from weftline.llm import mainbody
+
+    return mainbody.main_text(table(spark, folder, "articles_raw"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p2_found, p2_agreement, p2_reliability)
+    f.__name__: f for f in (p1_found, p2_found, p2_agreement, p2_reliability, p3_found, p3_cleaned, p4_found, p6_found, p6_body)
 }
+
+#: SQL for queries that SQL can state; the others are tested against brute force.
+ORACLE_SQL: dict[str, str] = {}
