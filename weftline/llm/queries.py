@@ -67,8 +67,20 @@ def p6_body(spark: SparkSession, folder: str) -> DataFrame:
     return mainbody.main_text(table(spark, folder, "articles_raw"))
 
 
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    from weftline.llm import langtags
+
+    return langtags.wrong_or_mixed(table(spark, folder, "articles_raw"))
+
+
+def p7_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
+    from weftline.llm import langtags
+
+    return langtags.story_paragraphs(table(spark, folder, "articles_raw")).select("globaleventid", "line_no", "lang", "confidence", "n_words", "parts").distinct()
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p2_found, p2_agreement, p2_reliability, p3_found, p3_cleaned, p4_found, p6_found, p6_body)
+    f.__name__: f for f in (p1_found, p2_found, p2_agreement, p2_reliability, p3_found, p3_cleaned, p4_found, p6_found, p6_body, p7_found, p7_paragraphs)
 }
 
 #: SQL for queries that SQL can state; the others are tested against brute force.
