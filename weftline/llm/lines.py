@@ -8,22 +8,22 @@ import unicodedata
 import xxhash
 
 # Month names by language, as written beside day or year numbers.
-MONTHS = set(
+MONTHS = (
     "january february march april may june july august september october november december "
     "jan feb mar apr jun jul aug sep sept oct nov dec "
     "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre "
-    "janvier fevrier mars avril mai juin juillet aout septembre octobre novembre decembre "
-    "januar februar marz juni juli oktober dezember "
+    "janvier février mars avril mai juin juillet août septembre octobre novembre décembre "
+    "januar februar märz juni juli oktober dezember "
     "gennaio febbraio aprile maggio giugno luglio settembre ottobre dicembre "
-    "janeiro fevereiro marco maio junho julho setembro outubro dezembro "
-    "ocak subat mart nisan mayis haziran temmuz agustos eylul ekim kasim aralik "
+    "janeiro fevereiro março maio junho julho setembro outubro dezembro "
+    "ocak şubat mart nisan mayıs haziran temmuz ağustos eylül ekim kasım aralık "
     "января февраля марта апреля мая июня июля августа сентября октября ноября декабря "
     "січня лютого березня квітня травня червня липня серпня вересня жовтня листопада грудня "
     "يناير فبراير مارس أبريل مايو يونيو يوليو أغسطس سبتمبر أكتوبر نوفمبر ديسمبر "
     "ژانویه فوریه آوریل مه ژوئن ژوئیه اوت سپتامبر اکتبر نوامبر دسامبر "
-    "जनवरी फरवरी मार्च अप्रैल मई जून जुलाई अगस्त सितंबर अक्टूबर नवंबर दिसंबर".split()
-)
-FILLED = {"".join(c for c in unicodedata.normalize("NFKD", m) if not unicodedata.combining(c)) for m in MONTHS} | {"am", "pm"}
+    "जनवरी फरवरी मार्च अप्रैल मई जून जुलाई अगस्त सितंबर अक्टूबर नवंबर दिसंबर"
+).split()
+FILLED = {m.upper().casefold() for m in MONTHS} | {"am", "pm"}
 _PIECE = re.compile(r"\d+|[^\W\d_]+")
 _CJK_DATE = re.compile(r"(?<=\d)\s*[年月日号號時时分秒]")
 _MIS_DECODED = re.compile("[ÃÂâÐÑØÙÛàá][\u0080-¿ŒœŠšŸŽžƒˆ˜–—‘’‚“”„†‡•…‰‹›€™]|Ð|[РС][ -џ‚ѓ„…†‡€‰‹‘’“”•–—™›]")
@@ -73,14 +73,21 @@ def _mend_parts(text: str) -> str:
 
 
 def line_key(line: str) -> str:
-    """What is left of a line without case, spacing, punctuation, marks, dates, times and numbers; '' for a blank line."""
+    """What is left of a line without case, spacing, punctuation, dates, times and numbers; '' for a blank line."""
     known = _KEYS.get(line)
     if known is not None:
         return known
     text = line.upper().casefold()
     if not text.isascii():
-        text = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
-    pieces = _PIECE.findall(_CJK_DATE.sub(" ", text))
+        text = _CJK_DATE.sub(" ", unicodedata.normalize("NFC", text))
+    pieces = _PIECE.findall(text)
+    if not any(c.isdigit() for c in text):
+        key = "".join(pieces) or line.strip()
+        if len(line) < 120:
+            if len(_KEYS) > 200_000:
+                _KEYS.clear()
+            _KEYS[line] = key
+        return key
     out: list[str] = []
     for i, piece in enumerate(pieces):
         if piece[0].isdigit() or (piece in FILLED and ((i and pieces[i - 1][0].isdigit()) or (i + 1 < len(pieces) and pieces[i + 1][0].isdigit()))):

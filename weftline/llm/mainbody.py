@@ -84,7 +84,7 @@ class PageModel:
         if known is not None and (known[2] or not site):
             return known[0] if not site or site not in known[1] else (*known[0][:6], 1.0)
         text = line.strip() if line.isascii() else mend(line).strip()
-        squashed = _SQUASH.sub("", text.lower()) if len(line) < 400 else ""
+        squashed = _SQUASH.sub("", text.lower()) if site and len(line) < 250 else ""
         words = units(text)
         w = self.weights
         found = [w[u] for u in words if u in w]
@@ -97,7 +97,7 @@ class PageModel:
         if len(line) < 120:
             if len(self._known) > 100_000:
                 self._known.clear()
-            self._known[line] = (out, squashed, True)
+            self._known[line] = (out, squashed, bool(site))
         return (*out[:6], 1.0) if site and site in squashed else out
 
     def rows(self, lines: list[str], site: str = "") -> list[list[float]]:
