@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.plans import series
+from weftline.plans import acquire, series
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-for _part in (series,):
+for _part in (acquire, series):
     QUERIES |= _part.QUERIES
     ORACLE_SQL |= _part.ORACLE_SQL
