@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.plans import acquire, series, texts
+from weftline.plans import acquire, actors, series, texts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-for _part in (acquire, texts, series):
+for _part in (acquire, texts, actors, series):
     QUERIES |= _part.QUERIES
     ORACLE_SQL |= _part.ORACLE_SQL
