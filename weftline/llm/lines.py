@@ -111,12 +111,13 @@ def key_number(key: str) -> int:
     return h - (1 << 64) if h >= 1 << 63 else h
 
 
-_STRIP = str.maketrans({c: " " for c in ".,;:!?\"()«»„“”…؟،।。！？「」『』、，；：‹›—–·•|/>#*[]"} | {d: "0" for d in "123456789"})
+_MARKS = re.compile("[" + re.escape(".,;:!?\"()«»„“”…؟،।。！？「」『』、，；：‹›—–·•|/#>*[]") + "]")
+_DIGIT = re.compile("[1-9]")
 
 
 def units(text: str) -> list[str]:
     """Lower-case words; runs of scripts without spaces give their pairs of letters instead."""
-    words = text.translate(_STRIP).lower().split()
+    words = _DIGIT.sub("0", _MARKS.sub(" ", text)).lower().split()
     if text.isascii() or not _SPACELESS.search(text):
         return words
     out: list[str] = []

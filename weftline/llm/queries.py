@@ -76,7 +76,7 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 def p7_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
     from weftline.llm import langtags
 
-    return langtags.story_paragraphs(table(spark, folder, "articles_raw")).select("globaleventid", "line_no", "lang", "confidence", "n_words", "parts").distinct()
+    return langtags.story_paragraphs(table(spark, folder, "articles_raw")).dropDuplicates(["globaleventid", "line_no"])
 
 
 def p8_packed(spark: SparkSession, folder: str) -> DataFrame:
