@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.plans import acquire, actors, panels, series, texts
+from weftline.plans import acquire, actors, models, panels, series, streams, texts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-for _part in (acquire, texts, actors, panels, series):
+for _part in (acquire, texts, actors, panels, models, series, streams):
     QUERIES |= _part.QUERIES
     ORACLE_SQL |= _part.ORACLE_SQL
