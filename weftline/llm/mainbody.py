@@ -185,7 +185,7 @@ def fit(sample: list[tuple[str | None, str | None]], rounds: int = 1) -> PageMod
         odd = [x for x in lines if len(x) < 400 and residue.TRUSTED.search(x) and len(END.findall(x)) < 5]
         if odd and not any(line_key(x) in story for x in lines if x not in odd):
             trusted += odd
-    model.residue.fit(trusted, by["S"], list(every.values()), rounds=4)
+    model.residue.fit(trusted, by["S"] + by["F"], list(every.values()), rounds=1)
     story = {k: x for k, x in story.items() if model.residue.score(x) < 0.5}
     extra = (by["F"] + by["R"], by["S"]) if few else ([], [])
     plain, told = [*furniture.values(), *trusted], list(story.values())
@@ -208,14 +208,20 @@ def fit(sample: list[tuple[str | None, str | None]], rounds: int = 1) -> PageMod
         model.forget()
         if step == rounds:
             break
-        plain, told, leaning = {}, {}, set()
+        plain, told, beside, open_lines = {}, {}, {}, {}
         for site, lines in pages:
             shares = model.story_share(lines, site_of(site))
+            holds = any(x > 0.5 and model.residue.score(line) < 0.5 for line, x in zip(lines, shares))
             for line, share in zip(lines, shares):
-                (told if share > 0.5 else plain)[line_key(line)] = line
-            if max(shares) <= 0.5:
-                leaning |= {k for x in lines if (k := line_key(x)) not in furniture and len(k) > 12}
-        model.residue.fit(trusted, by["S"] + list(story.values()), list(every.values()), leaning)
+                key = line_key(line)
+                (told if share > 0.5 else plain)[key] = line
+                if holds and not residue.TRUSTED.search(line):
+                    beside[key] = line
+                elif not holds:
+                    open_lines[key] = line
+        # What stands beside a story is no residue; what stands on pages without one is unlabelled, and likely residue unless it is furniture elsewhere.
+        leaning = {k for k in open_lines if k not in furniture and len(k) > 12}
+        model.residue.fit(trusted, by["S"] + by["F"] + list(beside.values()), list(open_lines.values()), leaning)
         odd = {k for k, v in told.items() if model.residue.score(v) >= 0.5}
         plain = [v for k, v in plain.items() if k not in story] + [told[k] for k in odd] + list(furniture.values())
         told = [v for k, v in told.items() if k not in furniture and k not in odd]

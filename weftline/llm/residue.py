@@ -93,7 +93,7 @@ class ResidueModel:
         told = sorted((x for x, s in zip(lines, story) if s), key=len)
         if any(self.score(x) < 0.5 for x in told):
             return False
-        return any(self.score(x) >= 0.5 or (not told and len(k := line_key(x)) > 8 and k not in furniture) for x in lines)
+        return any(self.score(x) >= 0.5 or (not told and (TRUSTED.search(x) is not None or len(k := line_key(x)) > 8 and k not in furniture)) for x in lines)
 
 
 def no_story_articles(articles: DataFrame, model=None) -> DataFrame:
