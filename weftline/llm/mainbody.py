@@ -137,8 +137,13 @@ def _seeds(pages: list[tuple[str | None, list[str]]]) -> tuple[dict[str, str], d
     per_site: dict[tuple[str | None, str], int] = Counter()
     where: dict[str, int] = Counter()
     first: dict[str, str] = {}
+    copies: set[tuple] = set()
     for site, lines in pages:
-        for key, line in {line_key(x): x for x in lines}.items():
+        own = {line_key(x): x for x in lines}
+        if (stamp := (site, hash(tuple(own)))) in copies:  # a text published again says nothing new about its site
+            continue
+        copies.add(stamp)
+        for key, line in own.items():
             per_site[site, key] += 1
             where[key] += 1
             first.setdefault(key, line)

@@ -19,7 +19,7 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 def p2_agreement(spark: SparkSession, folder: str) -> DataFrame:
     from weftline.llm import consensus as c
 
-    return c.field_agreement(c.votes(table(spark, folder, "inter_annotator")))
+    return c.field_agreement(c.votes(table(spark, folder, "inter_annotator"))).withColumn("alpha", F.round("alpha", 6))
 
 
 def p2_reliability(spark: SparkSession, folder: str) -> DataFrame:
@@ -144,5 +144,5 @@ per as (
   from votes where answer is not null group by all having count(*) > 1),
 t as (
   select field_name, sum((a * (m - a) + b * (m - b) + c * (m - c)) / (m - 1)) as d, sum(m) as n, sum(a) as ta, sum(b) as tb, sum(c) as tc, count(*) as n_items from per group by 1)
-select field_name, n_items, cast(n as bigint) as n_ratings, 1 - d / ((ta * (n - ta) + tb * (n - tb) + tc * (n - tc)) / (n - 1)) as alpha from t""",
+select field_name, n_items, cast(n as bigint) as n_ratings, round(1 - d / ((ta * (n - ta) + tb * (n - tb) + tc * (n - tc)) / (n - 1)), 6) as alpha from t""",
 }
