@@ -182,8 +182,8 @@ def match_sources(spark, folder):
 
 
 @query("""select mentionsourcename, count(*) as n_rows, count(distinct globaleventid) as n_events, min(mentiontimedate) as first_seen, max(mentiontimedate) as last_seen,
-avg(mentiondoctone) as mean_tone from mention group by 1""")
+sum(mentiondoctone) as total_tone from mention group by 1""")
 def mention_sources(spark, folder):
     return table(spark, folder, "mention").groupBy("mentionsourcename").agg(
         F.count(F.lit(1)).alias("n_rows"), F.count_distinct("globaleventid").alias("n_events"), F.min("mentiontimedate").alias("first_seen"),
-        F.max("mentiontimedate").alias("last_seen"), F.avg("mentiondoctone").alias("mean_tone"))
+        F.max("mentiontimedate").alias("last_seen"), F.sum("mentiondoctone").alias("total_tone"))

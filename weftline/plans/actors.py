@@ -112,9 +112,9 @@ def multi_actor_exclusion(spark, folder):
     return e.without_several(_grouped(spark, folder), "event_id", "group_key").select("event_id", "group_key", "country")
 
 
-@query(f"""with {_ONCE} select domain, count(*) as n_rows, array_to_string(list_sort(list_distinct(list(actiongeo_countrycode) filter (trim(actiongeo_countrycode) <> ''))), '; ') as actiongeo_countrycode_list,
+@query(f"""with {_ONCE} select domain, count(*) as n_rows, coalesce(array_to_string(list_sort(list_distinct(list(actiongeo_countrycode) filter (trim(actiongeo_countrycode) <> ''))), '; '), '') as actiongeo_countrycode_list,
 (case when count(distinct eventcode) > 5 then array_to_string(list_slice(list_sort(list_distinct(list(eventcode) filter (trim(eventcode) <> ''))), 1, 5), '; ') || '; ... (+' || cast(count(distinct eventcode) - 5 as varchar) || ')'
- else array_to_string(list_sort(list_distinct(list(eventcode) filter (trim(eventcode) <> ''))), '; ') end) as eventcode_list, count(distinct eventrootcode) as n_eventrootcode,
+ else coalesce(array_to_string(list_sort(list_distinct(list(eventcode) filter (trim(eventcode) <> ''))), '; '), '') end) as eventcode_list, count(distinct eventrootcode) as n_eventrootcode,
  arg_min(actor1name, globaleventid) filter (trim(coalesce(actor1name, ''), ' ') <> '') as actor1name from once group by domain""")
 def collapse_join_unique(spark, folder):
     return e.collapse(a.once_per_article(table(spark, folder, "articles_raw")), ["domain"], [F.col("globaleventid")], ["actor1name"], {"actiongeo_countrycode": None, "eventcode": 5}, ["eventrootcode"])
