@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.plans import acquire, actors, models, panels, series, streams, texts
+from weftline.plans import acquire, actors, extras, models, panels, series, streams, texts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,7 +25,7 @@ DOUBLES = {
     "confusion_and_metrics": "precision recall f1 accuracy kappa fpr", "calibrated_share": "raw_share calibrated_share wilson_low wilson_high", "fdr_bh": "p p_fdr", "spearman_by_actor": "spearman",
     "acf_by_actor": "acf", "regime_summary": "positive_share clear_share unresolved_share", "category_divergence": "js_distance max_change_pp",
     "sample_summary": "median_fatalities least most sd q025 q975 zero_share", "centered_mean": "smooth", "ols_hac_univariate": "beta se", "rolling_forecast": "sse", "lead_lag_profile": "beta",
-    "theta_posterior_mean": "theta", "p5_readings": "total", "incremental_blocks": "total",
+    "theta_posterior_mean": "theta", "ar1_by_actor": "ar1", "signal_correlation": "r", "joint_state_confusion": "row_share", "label_comparison": "share", "p5_readings": "total", "incremental_blocks": "total",
 }
 # Columns that SQL counts as long.
 LONGS = {
@@ -50,7 +50,7 @@ def settled_sql(sql: str, doubles: tuple[str, ...], longs: tuple[str, ...]) -> s
 
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
-for _part in (acquire, texts, actors, panels, models, series, streams):
+for _part in (acquire, texts, actors, panels, models, series, extras, streams):
     QUERIES |= _part.QUERIES
     ORACLE_SQL |= _part.ORACLE_SQL
 for _name in ORACLE_SQL:
