@@ -55,7 +55,7 @@ def near_pairs(reps: DataFrame, similar: float = SIMILAR, ratio: float = LENGTH_
     flat = reps.select("id", n.alias("n"), "n_words", F.explode("shingles").alias("g")).join(counts, "g", "left")
     place = F.row_number().over(Window.partitionBy("id").orderBy(F.coalesce("common", F.lit(0)), "g"))
     prefix = flat.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * similar) + 1)
-    prefix = prefix.select("g", F.coalesce("common", F.lit(0)).alias("common"), "id", "n", "n_words", F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int").alias("part"))
+    prefix = cut(prefix.select("g", F.coalesce("common", F.lit(0)).alias("common"), "id", "n", "n_words", F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int").alias("part")))
     every = F.sequence(F.lit(0), F.lit(PARTS - 1))
     none = F.array(F.lit(-1))
     left = prefix.withColumn("other", F.explode(F.when(F.col("common") == 1, every).otherwise(none))).withColumn("part", F.when(F.col("common") == 1, F.col("part")).otherwise(-1))

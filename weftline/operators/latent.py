@@ -143,12 +143,20 @@ def maximise(c: Counts, beta_latent: bool = False, n: int = 64, rounds: int = 20
     return {"gamma": float(p[0]), "se": se, "log_likelihood": -float(now), "parameters": len(p), "least_eigenvalue": least, "converged": converged, "p": p, "aic": 2 * len(p) + 2 * float(now), "k": k}
 
 
-def chain(c: Counts, seed: int, draws: int, warmup: int, beta_latent: bool = False) -> np.ndarray:
+# Log prior densities of the error's standard deviation, by name, as functions of its log (with the change of variable).
+SIGMA_PRIORS = {
+    "gamma_1_10": lambda u: u - 10 * math.exp(u),
+    "half_normal": lambda u: u - math.exp(2 * u) / 2,
+    "gamma_2_2": lambda u: 2 * u - 2 * math.exp(u),
+}
+
+
+def chain(c: Counts, seed: int, draws: int, warmup: int, beta_latent: bool = False, sigma_prior: str = "half_normal") -> np.ndarray:
     """Draws of all parameters by adaptive random-walk Metropolis with weak normal priors, started at the maximum."""
     best = maximise(c, beta_latent)
     rng = np.random.default_rng(seed)
     p = best["p"] + rng.normal(0, 0.05, len(best["p"]))
-    prior = lambda v: -0.5 * float((v[0] / 10) ** 2 + ((v[1:1 + best["k"]] / 10) ** 2).sum() + (v[2 + best["k"]:] ** 2 / 9).sum())
+    prior = lambda v: -0.5 * float((v[0] / 10) ** 2 + ((v[1:1 + best["k"]] / 10) ** 2).sum() + (v[2 + best["k"]:] ** 2 / 9).sum()) + SIGMA_PRIORS[sigma_prior](min(v[1 + best["k"]], 20.0))
     now = log_likelihood(p, c, beta_latent) + prior(p)
     cov, scale, out = np.eye(len(p)) * 0.01, 1.0, []
     for i in range(warmup + draws):
@@ -165,11 +173,11 @@ def chain(c: Counts, seed: int, draws: int, warmup: int, beta_latent: bool = Fal
     return np.array(out[warmup:])
 
 
-def sample_chains(spark: SparkSession, c: Counts, chains: int = 4, draws: int = 500, warmup: int = 500, beta_latent: bool = False) -> DataFrame:
+def sample_chains(spark: SparkSession, c: Counts, chains: int = 4, draws: int = 500, warmup: int = 500, beta_latent: bool = False, sigma_prior: str = "half_normal") -> DataFrame:
     """(chain, draw, parameter, value): one Spark task per chain."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        made = chain(c, 7_919 * (1 + int(pdf["chain"].iloc[0])), draws, warmup, beta_latent)
+        made = chain(c, 7_919 * (1 + int(pdf["chain"].iloc[0])), draws, warmup, beta_latent, sigma_prior)
         n, k = made.shape
         return pd.DataFrame({"chain": int(pdf["chain"].iloc[0]), "draw": np.repeat(np.arange(n), k), "parameter": np.tile(np.arange(k), n), "value": made.ravel()})
 

@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from weftline.functions import text as t
+from weftline.functions.maths import chi2_tail
 from weftline.operators import latent
 from weftline.operators import panel as p
 from weftline.operators import regress as r
@@ -131,8 +132,18 @@ def _counts(spark, folder) -> latent.Counts:
 @query()
 def joint_mle(spark, folder):
     c = _counts(spark, folder)
-    rows = [(name, f["gamma"], f["se"], f["log_likelihood"], f["aic"], f["least_eigenvalue"], f["converged"]) for name, f in (("uniform", latent.maximise(c)), ("beta", latent.maximise(c, True)))]
-    return spark.createDataFrame(rows, "latent string, gamma double, se double, log_likelihood double, aic double, least_eigenvalue double, converged boolean")
+    plain, beta = latent.maximise(c), latent.maximise(c, True)
+    lr = 2 * (beta["log_likelihood"] - plain["log_likelihood"])
+    rows = [(name, f["gamma"], f["se"], f["log_likelihood"], f["aic"], f["least_eigenvalue"], f["converged"], lr, chi2_tail(lr, 2)) for name, f in (("uniform", plain), ("beta", beta))]
+    return spark.createDataFrame(rows, "latent string, gamma double, se double, log_likelihood double, aic double, least_eigenvalue double, converged boolean, lr double, lr_p double")
+
+
+@query()
+def prior_sensitivity(spark, folder):
+    """Posterior mean and spread of the signal's coefficient under three priors of the error's deviation."""
+    c = _counts(spark, folder)
+    parts = [latent.summarise(latent.sample_chains(spark, c, 2, 300, 300, sigma_prior=name)).where("parameter = 0").select(F.lit(name).alias("prior"), "mean", "sd", "low", "high", "r_hat") for name in latent.SIGMA_PRIORS]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query()

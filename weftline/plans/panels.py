@@ -170,13 +170,15 @@ def calibrated_share(spark, folder):
     return c.withColumn("raw_share", F.col("k") / F.col("n")).withColumns({"calibrated_share": maths.calibrated(F.col("raw_share"), 0.9, 0.15), "wilson_low": low, "wilson_high": high})
 
 
-@query("""with d as (select domain, count(*) as n, avg(avgtone) as tone, (abs(hash_free) % 1000) / 1000.0 as p from (select domain, avgtone, length(domain) * 37 + ascii(domain) * 11 as hash_free from articles_raw where domain is not null) group by domain, hash_free),
-r as (select *, row_number() over (order by p, domain) as r, count(*) over () as m from d), q as (select *, p * m / r as q from r)
-select domain, p, least(1.0, min(q) over (order by r desc rows unbounded preceding)) as p_fdr from q""")
+@query(f"""with d as (select coding_round, coder_1_id, abs(count(*) filter ({_LAB.format('any_fatalities_mentioned_coder_1')} = 'yes') - 0.4 * count(*)) / count(*) as p from inter_annotator group by 1, 2),
+r as (select *, row_number() over (partition by coding_round order by p, coder_1_id) as r, count(*) over (partition by coding_round) as m from d), q as (select *, p * m / r as q from r)
+select coding_round, coder_1_id, p, least(1.0, min(q) over (partition by coding_round order by r desc rows unbounded preceding)) as p_fdr from q""")
 def fdr_bh(spark, folder):
-    d = table(spark, folder, "articles_raw").where("domain is not null").select("domain").distinct()
-    tests = d.select("domain", (F.abs(F.length("domain") * 37 + F.ascii("domain") * 11) % 1000 / 1000.0).alias("p"), F.lit(1).alias("family"))
-    return m.bh_adjusted(tests, ["family"], "p", ["domain"]).select("domain", "p", "p_fdr")
+    """A number between 0 and 1 per coder and round stands for a p value; rounds are families."""
+    yes = F.count_if(t.label_form(F.col("any_fatalities_mentioned_coder_1")) == "yes")
+    n = F.count(F.lit(1))
+    tests = table(spark, folder, "inter_annotator").groupBy("coding_round", "coder_1_id").agg((F.abs(yes - 0.4 * n) / n).alias("p"))
+    return m.bh_adjusted(tests, ["coding_round"], "p", ["coder_1_id"]).select("coding_round", "coder_1_id", "p", "p_fdr")
 
 
 @query(f"""{_PANEL}, r as (select actor_id, rank() over (partition by actor_id order by n_events) + (count(*) over (partition by actor_id, n_events) - 1) / 2.0 as rx, rank() over (partition by actor_id order by fatalities) + (count(*) over (partition by actor_id, fatalities) - 1) / 2.0 as ry from bal)
