@@ -49,7 +49,7 @@ def made(n=400):
     return truth, rows
 
 
-def test_consensus_finds_turned_coders(spark):
+def test_consensus_finds_turned_coders(spark, monkeypatch):
     truth, rows = made()
     df = spark.createDataFrame(rows + [(None, 1, "a", "b", "yes", "no", "yes", "no", None), (9999, 1, None, "", "yes", "yes", "yes", "yes", None)], COLUMNS)
     ballots, model = consensus.fit(df)
@@ -58,6 +58,9 @@ def test_consensus_finds_turned_coders(spark):
     assert sum(hits) / len(hits) > 0.9
     assert all(got[i, "any_physical_violence_mentioned"].answer == "no" for i in truth) and (9999, "any_fatalities_mentioned") not in got
     assert got[0, "any_fatalities_mentioned"].n_votes <= 6 and 0 <= got[0, "any_fatalities_mentioned"].pair_agreement <= 1
+    monkeypatch.setattr(consensus, "MAP_ROWS", 0)
+    again = {(r.globaleventid, r.field_name): r.answer for r in consensus.consensus(*consensus.fit(df)).collect()}
+    assert again == {k: r.answer for k, r in got.items()}
     rate = {r.coder_id: r.accuracy for r in consensus.coder_reliability(model).where("field_name = 'any_fatalities_mentioned'").collect()}
     assert rate["good1"] > 0.8 > 0.5 > rate["turned"] and rate["yes"] < 0.6
 

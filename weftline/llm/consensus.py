@@ -16,6 +16,8 @@ from weftline.session import cut
 
 ANSWERS = ("yes", "no", "unclear")
 FIELDS = ("any_fatalities_mentioned", "any_physical_violence_mentioned")
+#: Coder tables (coders times fields) up to which they travel as maps.
+MAP_ROWS = 1_000
 
 
 def clean_answer(text: Column) -> Column:
@@ -51,29 +53,38 @@ def _add(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: x + y)
 
 
-def _share(a: Column) -> Column:
-    """Softmax of an array of logs."""
-    top = F.array_max(a)
-    e = F.transform(a, lambda x: F.exp(x - top))
-    total = F.aggregate(e, F.lit(0.0), lambda s, x: s + x)
-    return F.transform(e, lambda x: x / total)
+def _shares(df: DataFrame, logs: list[Column]) -> DataFrame:
+    """``df`` with p0.. , the softmax of the logs, in plain columns that code generation covers."""
+    n = range(len(logs))
+    told = df.withColumns({f"_o{k}": logs[k] for k in n})
+    told = told.withColumn("_top", F.greatest(*[f"_o{k}" for k in n])).withColumns({f"_e{k}": F.exp(F.col(f"_o{k}") - F.col("_top")) for k in n})
+    told = told.withColumn("_sum", sum((F.col(f"_e{k}") for k in n), F.lit(0.0))).withColumns({f"p{k}": F.col(f"_e{k}") / F.col("_sum") for k in n})
+    return told.drop("_top", "_sum", *[f"_o{k}" for k in n], *[f"_e{k}" for k in n])
 
 
-def _scored(ballots: DataFrame, model: DataFrame) -> DataFrame:
-    """Ballots with each vote's log shares and the sum over the item."""
-    weighed = ballots.join(model, ["field_name", "coder"]).withColumn(
-        "logs", F.transform("table", lambda row: F.log(F.element_at(row, F.col("answer"))))
-    )
+def _scored(ballots: DataFrame, model: DataFrame, as_map: bool) -> DataFrame:
+    """Ballots with each vote's log shares and the sum over the item.
+
+    With few coders their tables travel as one map per field, and no vote is
+    shuffled; else votes join their coder's table. The results are the same.
+    """
     zero = F.array(*[F.lit(0.0)] * len(ANSWERS))
-    return weighed.groupBy("globaleventid", "field_name").agg(
-        F.collect_list(F.struct("coder", "answer", "logs")).alias("vs"), F.first("prior").alias("prior")
-    ).withColumn("total", F.aggregate("vs", zero, lambda s, v: _add(s, v["logs"])))
+    logs = lambda table, answer: F.transform(table, lambda row: F.log(F.element_at(row, answer)))
+    if as_map:
+        maps = model.groupBy("field_name").agg(F.map_from_entries(F.collect_list(F.struct("coder", "table"))).alias("tables"), F.first("prior").alias("prior"))
+        told = ballots.join(F.broadcast(maps), "field_name").withColumn(
+            "vs", F.transform("votes", lambda v: F.struct(v["coder"].alias("coder"), v["answer"].alias("answer"), logs(F.element_at("tables", v["coder"]), v["answer"]).alias("logs")))).drop("tables", "votes")
+    else:
+        flat = ballots.select("globaleventid", "field_name", F.explode("votes").alias("v")).select("globaleventid", "field_name", "v.coder", "v.answer")
+        told = flat.join(model, ["field_name", "coder"]).withColumn("logs", logs(F.col("table"), F.col("answer"))).groupBy("globaleventid", "field_name").agg(
+            F.collect_list(F.struct("coder", "answer", "logs")).alias("vs"), F.first("prior").alias("prior"))
+    return told.withColumn("total", F.aggregate("vs", zero, lambda s, v: _add(s, v["logs"])))
 
 
 def _model(soft: DataFrame, smoothing: float) -> DataFrame:
     """Per field and coder: table[k][a], the smoothed share of answer a where the other coders say k; prior logs per field."""
     n = len(ANSWERS)
-    cells = [F.sum(F.when(F.col("answer") == a + 1, F.col("others")[k]).otherwise(0.0)).alias(f"c{k}{a}") for k in range(n) for a in range(n)]
+    cells = [F.sum(F.when(F.col("answer") == a + 1, F.col(f"p{k}")).otherwise(0.0)).alias(f"c{k}{a}") for k in range(n) for a in range(n)]
     sums = soft.groupBy("field_name", "coder").agg(*cells, F.count(F.lit(1)).alias("n_votes"))
     row = lambda k: F.array(*[
         (F.col(f"c{k}{a}") + smoothing * (2.0 if a == k else 1.0)) / (sum((F.col(f"c{k}{b}") for b in range(n)), F.lit(0.0)) + smoothing * (n + 1.0))
@@ -83,26 +94,33 @@ def _model(soft: DataFrame, smoothing: float) -> DataFrame:
     totals = sums.groupBy("field_name").agg(*[F.sum(shares[k]).alias(f"p{k}") for k in range(n)])
     prior = F.array(*[F.log(F.col(f"p{k}") / sum((F.col(f"p{b}") for b in range(n)), F.lit(0.0))) for k in range(n)]).alias("prior")
     tables = sums.select("field_name", "coder", "n_votes", F.array(*[row(k) for k in range(n)]).alias("table"))
-    return tables.join(totals.select("field_name", prior), "field_name")
+    return tables.join(totals.select("field_name", prior), "field_name").select("field_name", "coder", "n_votes", "table", "prior")
 
 
 def fit(rounds: DataFrame, fields: tuple[str, ...] = FIELDS, most_rounds: int = 12, tolerance: float = 2e-3, smoothing: float = 0.5) -> tuple[DataFrame, DataFrame]:
-    """(ballots, model) after alternating consensus and coder accuracy until no table cell moves more than ``tolerance``."""
-    ballots = cut(votes(rounds, fields))
+    """(ballots, model): (globaleventid, field_name, votes) and each coder's table, after alternating consensus and coder accuracy until no table cell moves more than ``tolerance``."""
+    ballots = cut(votes(rounds, fields).groupBy("globaleventid", "field_name").agg(F.array_sort(F.collect_list(F.struct("coder", "answer"))).alias("votes")))
     start = F.array(*[F.array(*[F.lit(0.6 if a == k else 0.2) for a in range(len(ANSWERS))]) for k in range(len(ANSWERS))])
-    model = cut(ballots.groupBy("field_name", "coder").agg(F.count(F.lit(1)).alias("n_votes")).withColumns(
-        {"table": start, "prior": F.array(*[F.lit(0.0)] * len(ANSWERS))}
-    ))
+    model = cut(ballots.select("field_name", F.explode("votes").alias("v")).select("field_name", "v.coder").groupBy("field_name", "coder").agg(F.count(F.lit(1)).alias("n_votes")).select(
+        "field_name", "coder", "n_votes", start.alias("table"), F.array(*[F.lit(0.0)] * len(ANSWERS)).alias("prior")))
+    as_map = model.limit(MAP_ROWS + 1).count() <= MAP_ROWS
+    kept: list = []
     for _ in range(most_rounds):
-        soft = _scored(ballots, model).select("field_name", "prior", "total", F.explode("vs").alias("v")).select(
-            "field_name", "v.coder", "v.answer",
-            _share(_add(F.col("prior"), F.zip_with("total", "v.logs", lambda t, x: t - x))).alias("others"),
-        )
-        new = cut(_model(soft, smoothing))
-        moved = new.select("field_name", "coder", F.flatten("table").alias("new")).join(
-            model.select("field_name", "coder", F.flatten("table").alias("old")), ["field_name", "coder"]
-        ).agg(F.max(F.array_max(F.zip_with("new", "old", lambda a, b: F.abs(a - b))))).first()[0]
-        model = new
+        each = _scored(ballots, model, as_map).select("field_name", "prior", "total", F.explode("vs").alias("v"))
+        others = [F.col("prior")[k] + F.col("total")[k] - F.col("v.logs")[k] for k in range(len(ANSWERS))]
+        soft = _shares(each, others).select("field_name", "v.coder", "v.answer", *[f"p{k}" for k in range(len(ANSWERS))])
+        if as_map:  # few coder tables: kept on the driver between rounds
+            rows = sorted(_model(soft, smoothing).collect())
+            cells = lambda rs: [x for r in rs for row in r["table"] for x in row]
+            before, now = cells(kept), cells(rows)
+            moved = max((abs(x - y) for x, y in zip(before, now)), default=0.0) if len(before) == len(now) else 1.0
+            kept, model = rows, rounds.sparkSession.createDataFrame(rows, model.schema)
+        else:
+            new = cut(_model(soft, smoothing))
+            moved = new.select("field_name", "coder", F.flatten("table").alias("new")).join(
+                model.select("field_name", "coder", F.flatten("table").alias("old")), ["field_name", "coder"]
+            ).agg(F.max(F.array_max(F.zip_with("new", "old", lambda a, b: F.abs(a - b))))).first()[0]
+            model = new
         if moved is None or moved < tolerance:
             break
     return ballots, model
@@ -113,22 +131,24 @@ def consensus(ballots: DataFrame, model: DataFrame) -> DataFrame:
 
     Ties go to the first of yes, no, unclear. Articles without any usable vote have no row.
     """
-    s = _scored(ballots, model).withColumn("p", _share(_add(F.col("prior"), F.col("total"))))
-    best = F.array_max("p")
+    scored = _scored(ballots, model, model.limit(MAP_ROWS + 1).count() <= MAP_ROWS)
+    s = _shares(scored, [F.col("prior")[k] + F.col("total")[k] for k in range(len(ANSWERS))])
+    best = F.greatest(*[f"p{k}" for k in range(len(ANSWERS))])
+    answer = F.when(F.col("p0") == best, ANSWERS[0]).when(F.col("p1") == best, ANSWERS[1]).otherwise(ANSWERS[2])
     counts = [F.size(F.filter("vs", lambda v, i=i: v["answer"] == i + 1)) for i in range(len(ANSWERS))]
     n = F.size("vs")
     pairs = sum((c * (c - 1) for c in counts), F.lit(0))
     return s.select(
         "globaleventid", "field_name",
-        F.element_at(F.array(*map(F.lit, ANSWERS)), F.array_position("p", best).cast("int")).alias("answer"),
+        answer.alias("answer"),
         best.alias("confidence"), n.alias("n_votes"),
         F.when(n > 1, pairs / (n * (n - 1))).alias("pair_agreement"),
     )
 
 
-def field_agreement(ballots: DataFrame) -> DataFrame:
-    """Krippendorff's alpha per field for nominal answers with missing ratings; null where it is undefined."""
-    per = ballots.groupBy("field_name", "globaleventid").agg(
+def field_agreement(flat: DataFrame) -> DataFrame:
+    """Krippendorff's alpha per field of ``votes`` for nominal answers with missing ratings; null where it is undefined."""
+    per = flat.groupBy("field_name", "globaleventid").agg(
         *[F.sum((F.col("answer") == i + 1).cast("double")).alias(f"n{i}") for i in range(len(ANSWERS))], F.count(F.lit(1)).alias("m")
     ).where("m > 1")
     disagree = sum((F.col(f"n{i}") * (F.col("m") - F.col(f"n{i}")) for i in range(len(ANSWERS))), F.lit(0.0)) / (F.col("m") - 1)
@@ -141,6 +161,6 @@ def field_agreement(ballots: DataFrame) -> DataFrame:
 
 def coder_reliability(model: DataFrame) -> DataFrame:
     """Per coder and field: votes and accuracy, the prior-weighted share of right answers."""
-    p = _share(F.col("prior"))
-    hit = F.aggregate(F.sequence(F.lit(1), F.lit(len(ANSWERS))), F.lit(0.0), lambda s, k: s + F.element_at(p, k) * F.element_at(F.element_at(F.col("table"), k), k))
+    n = range(len(ANSWERS))
+    hit = sum((F.exp(F.col("prior")[k]) * F.col("table")[k][k] for k in n), F.lit(0.0)) / sum((F.exp(F.col("prior")[k]) for k in n), F.lit(0.0))
     return model.select("field_name", F.col("coder").alias("coder_id"), "n_votes", hit.alias("accuracy"))
