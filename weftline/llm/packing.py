@@ -93,7 +93,7 @@ def packed(documents: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     slots = spark.createDataFrame(rows, "n_tokens long, low long, high long, container long, per long").groupBy("n_tokens").agg(
         F.array_sort(F.collect_list(F.struct("low", "high", "container", "per"))).alias("slots"))
     rank = (F.row_number().over(Window.partitionBy("n_tokens", "part").orderBy("doc_id", "piece_no")) - 1 + F.col("offset")).alias("rank")
-    ranked = items.join(F.broadcast(offsets), ["n_tokens", "part"]).select("doc_id", "piece_no", "n_tokens", rank)
+    ranked = items.join(offsets, ["n_tokens", "part"]).select("doc_id", "piece_no", "n_tokens", rank)
     slot = F.filter("slots", lambda s: (s["low"] <= F.col("rank")) & (F.col("rank") <= s["high"]))[0]
     return ranked.join(F.broadcast(slots), "n_tokens").withColumn("slot", slot).select(
         "doc_id", "piece_no", "n_tokens", (F.col("slot.container") + F.floor((F.col("rank") - F.col("slot.low")) / F.col("slot.per"))).cast("long").alias("container_id"))
