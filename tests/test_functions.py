@@ -16,7 +16,7 @@ def test_text_columns_on_edge_rows(spark):
     got = values(spark, rows, "x string", t.hash_form(x), F.size(t.tokens(x)), F.size(t.shingles(t.tokens(x))), t.word_count(x), t.sentence_count(x), t.text_key(x).isNull())
     assert [g[0] for g in got] == ["", "", "été été straße", "a b c d e f"]
     assert [g[1] for g in got] == [0, 0, 3, 6] and [g[2] for g in got] == [0, 0, 0, 2]
-    assert [g[3] for g in got] == [0, 0, 2, 6] and [g[5] for g in got] == [True, True, False, False]
+    assert [g[3] for g in got] == [0, 0, 3, 6] and [g[5] for g in got] == [True, True, False, False]
 
 
 def test_keys_of_names(spark):
@@ -29,11 +29,15 @@ def test_keys_of_names(spark):
 
 
 def test_mended_and_flags(spark):
-    rows = [("trÃ¨s bien",), ("plain",), (None,)]
-    assert values(spark, rows, "x string", t.mended(F.col("x"))) == [("très bien",), ("plain",), (None,)]
+    wrong = "très été déjà là".encode().decode("latin-1")
+    rows = [(wrong,), ("plain",), (None,), ("ØÙÐÑ " * 10,)]
+    assert values(spark, rows, "x string", t.mended(F.col("x")), t.looks_misdecoded(F.col("x"))) == [("très été déjà là", True), ("plain", False), (None, False), ("", True)]
+    story = "The convoy left the town at dawn on Friday. Subscribe to our newsletter now, please do. Nobody was hurt in the raid at all."
+    kept = values(spark, [(story,), ("Access denied for this page of the site.",), (None,), ("short",), ("Нападение произошло на рассвете у моста. Никто не пострадал в этот день.",)], "x string", t.content_sentences(F.col("x")))
+    assert kept[0][0] == "The convoy left the town at dawn on Friday. Nobody was hurt in the raid at all." and kept[1][0] == "" and kept[2][0] is None and kept[3][0] == "short" and kept[4][0].startswith("Нападение")
     flags = t.quality_flags(F.col("x"))
-    got = values(spark, [("",), ("Subscribe newsletter cookie. " * 40,)], "x string", flags["quality_bad_score"], flags["quality_bad_reason"])
-    assert got[0] == (1, "short,few_sentences") and "boilerplate" in got[1][1]
+    got = values(spark, [("",), ("Subscribe newsletter cookie privacy. " * 40,)], "x string", flags["quality_bad_score"], flags["quality_bad_reason"])
+    assert got[0] == (1, "short_text,few_sentences") and "boilerplate" in got[1][1]
 
 
 def test_join_unique_and_chunks(spark):

@@ -64,13 +64,16 @@ def strict_matches(names: DataFrame, keys: DataFrame, id_column: str, sides: dic
     return stacked.join(hits, "name").select(id_column, "side", "name", "actor_id", "kind", "term")
 
 
-def ambiguity(matches: DataFrame, vague: Sequence[str] = t.VAGUE_TERMS) -> DataFrame:
-    """Matches with the actors per name, and reasons for review ('clean_exact_alias' if none)."""
+def ambiguity(matches: DataFrame, review_columns: Sequence[str] = ("namealliance",)) -> DataFrame:
+    """Matches with the actors per alias, reasons for review ('clean_exact_alias' if none), and whether they are safe to use.
+
+    If the matches have a ``source_column``, aliases from ``review_columns`` are marked as alliances.
+    """
     n = matches.groupBy("name").agg(F.count_distinct("actor_id").alias("n_actors"))
-    reasons = F.filter(F.array(
-        F.when(F.col("n_actors") > 1, "alias_of_several_actors"), F.when(F.lower("name").isin(*vague), "vague_alias"), F.when(F.col("kind") == "acronym", "acronym_only"),
-    ), lambda r: r.isNotNull())
-    return matches.join(n, "name").withColumn("review", F.when(F.size(reasons) > 0, F.array_join(reasons, ";")).otherwise("clean_exact_alias"))
+    broad = t.phrase_key(F.col("name")).isin(*t.BROAD_ALIASES)
+    alliance = F.lower("source_column").isin(*review_columns) if "source_column" in matches.columns else F.lit(False)
+    review = F.concat_ws(";", F.when(broad, "suspicious_broad_or_geographic_alias"), F.when(alliance, "alliance_alias"), F.when(F.col("n_actors") > 1, "alias_maps_to_multiple_rebel_ids"))
+    return matches.join(n, "name").withColumn("review", F.when(review == "", "clean_exact_alias").otherwise(review)).withColumn("high_confidence", ~broad & ~alliance)
 
 
 def collapse(df: DataFrame, keys: Sequence[str], order: Sequence[Column], first: Sequence[str], lists: dict[str, int | None], distinct: Sequence[str] = ()) -> DataFrame:

@@ -35,9 +35,7 @@ def event_date(text: Column) -> Column:
 
 def source_number(text: Column) -> Column:
     """An id written as number text (blanks around, ``.0`` behind) as long, else null."""
-    return F.expr("cast(null as bigint)") if text is None else F.regexp_extract(
-        F.trim(text.cast("string")), r"^0*(\d{1,18})(?:\.0*)?$", 1
-    ).try_cast("bigint")
+    return F.regexp_extract(F.trim(text.cast("string")), r"^0*(\d{1,18})(?:\.0*)?$", 1).try_cast("bigint")
 
 
 def readings(events: DataFrame, first: str = FIRST_DAY, last: str = LAST_DAY) -> DataFrame:

@@ -50,9 +50,12 @@ def outside(rows: DataFrame, work: Callable[[str], str], key: str, text: str, ch
 
 
 def parsed(answers: DataFrame, schema: str, allowed: dict[str, Sequence[str]]) -> DataFrame:
-    """Answers (JSON objects) as columns, with ``problem``: 'malformed', the first column outside its allowed values, or null."""
+    """Answers (JSON objects) as columns, with ``problem``: 'malformed' (no object, or none of the checked columns), the first column outside its allowed values, or null."""
     rows = answers.withColumn("_j", F.from_json("answer", schema))
-    bad = F.when(F.col("_j").isNull(), "malformed")
+    given = F.lit(False)
+    for name in allowed:
+        given = given | F.col(f"_j.{name}").isNotNull()
+    bad = F.when(F.col("_j").isNull() | ~given, "malformed")
     for name, values in allowed.items():
         bad = bad.when(~F.coalesce(t.label_form(F.col(f"_j.{name}")).isin(*values), F.lit(False)), name)
     return rows.withColumn("problem", bad).select(*[c for c in answers.columns], "_j.*", "problem")

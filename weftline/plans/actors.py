@@ -24,10 +24,11 @@ def query(sql: str | None = None):
 
 
 _ONCE = "once as (select * exclude (rn) from (select *, row_number() over (partition by globaleventid order by scraped_at desc nulls last) as rn from articles_raw) where rn = 1)"
+_BROAD = ", ".join(f"'{v}'" for v in t.BROAD_ALIASES)
 _VAGUE = ", ".join(f"'{v}'" for v in t.VAGUE_TERMS)
 _TERMS = f"""stacked as (select cast(actorid as varchar) as actor_id, 'namedata' as source_column, namedata as raw from actor union all select cast(actorid as varchar), 'nameorigfulleng', nameorigfulleng from actor),
 parts as (select actor_id, source_column, trim(unnest(regexp_split_to_array(coalesce(raw, ''), '(?i)\\s*[;,/|:]\\s*|\\s+\\baka\\b\\s+|\\s+\\ba\\.k\\.a\\.\\s+'))) as term from stacked),
-terms as (select distinct actor_id, source_column, term from parts where term <> '' and length(term) >= 3 and lower(term) not in ({_VAGUE}) and not regexp_full_match(term, '[\\d\\s.\\-]+') and not starts_with(lower(term), 'government of '))"""
+terms as (select distinct actor_id, source_column, term from parts where term <> '' and length(term) >= 3 and lower(term) not in ({_VAGUE}) and not regexp_full_match(term, '\\d+') and not starts_with(lower(term), 'government of '))"""
 
 
 def _phrase(c: str) -> str:
@@ -70,11 +71,12 @@ def strict_matches(spark, folder):
 
 
 @query(f"""with {_MATCH}, n as (select name, count(distinct actor_id) as n_actors from matches group by 1)
-select m.name, m.actor_id, m.kind, n.n_actors, count(*) as n_rows, coalesce(nullif(concat_ws(';', case when n_actors > 1 then 'alias_of_several_actors' end, case when lower(m.name) in ({_VAGUE}) then 'vague_alias' end, case when kind = 'acronym' then 'acronym_only' end), ''), 'clean_exact_alias') as review
+select m.name, m.actor_id, m.kind, n.n_actors, count(*) as n_rows, {_phrase('m.name')} not in ({_BROAD}) as high_confidence,
+coalesce(nullif(concat_ws(';', case when {_phrase('m.name')} in ({_BROAD}) then 'suspicious_broad_or_geographic_alias' end, case when n_actors > 1 then 'alias_maps_to_multiple_rebel_ids' end), ''), 'clean_exact_alias') as review
 from matches m join n on n.name = m.name group by all""")
 def ambiguous_aliases(spark, folder):
     m = e.ambiguity(_matches(spark, folder))
-    return m.groupBy("name", "actor_id", "kind", "n_actors", "review").agg(F.count(F.lit(1)).alias("n_rows"))
+    return m.groupBy("name", "actor_id", "kind", "n_actors", "review", "high_confidence").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 @query(f"""with {_MATCH}, per as (select actor_id, count(*) as n_matches, count(distinct globaleventid) as n_articles, count(*) filter (side = 'actor1') as n_side1 from matches group by 1)

@@ -27,11 +27,14 @@ def query(sql: str | None = None):
 _WS = r"[\s\x0B\x1C-\x1F\x85\p{Z}]+"
 _FORM = rf"trim(regexp_replace(regexp_replace(replace(lower(coalesce(text, '')), '_', ' '), '[^\p{{L}}\p{{N}}\s\x0B\x1C-\x1F\x85\p{{Z}}]', ' ', 'g'), '{_WS}', ' ', 'g'))"
 _SQUEEZED = rf"trim(regexp_replace(coalesce(text, ''), '{_WS}', ' ', 'g'))"
-_WORDS = f"(case when {_SQUEEZED} = '' then 0 else len(string_split({_SQUEEZED}, ' ')) end)"
+_WORDS = f"(case when {_FORM} = '' then 0 else len(string_split({_FORM}, ' ')) end)"
 _HITS = "(" + " + ".join(f"(case when contains(lower(coalesce(text, '')), '{b}') then 1 else 0 end)" for b in t.BOILERPLATE) + ")"
 _TIMES = "(" + " + ".join(f"cast((length(lower(coalesce(text, ''))) - length(replace(lower(coalesce(text, '')), '{b}', ''))) / {len(b)} as int)" for b in t.BOILERPLATE) + ")"
 _SENT = "len(list_filter(regexp_split_to_array(coalesce(text, ''), '[.!?]+'), lambda p: trim(p, ' ') <> ''))"
-_MARKS = f"length(regexp_replace(coalesce(text, ''), '[^{t.MOJIBAKE}]', '', 'g'))"
+_M = f"length(regexp_replace({_SQUEEZED}, '[^{t.MOJIBAKE}]', '', 'g'))"
+_H = f"length(regexp_replace({_SQUEEZED}, '[^{t.SEVERE_MOJIBAKE}]', '', 'g'))"
+_SEQ = f"len(regexp_extract_all({_SQUEEZED}, '{t.MOJIBAKE_SEQUENCE}'))"
+_BAD = f"(({_SEQ} >= 3 and {_M} >= 3) or ({_M} >= 20 and {_M} / greatest(length({_SQUEEZED}), 1) >= 0.02) or ({_H} >= 8 and {_H} / greatest(length({_SQUEEZED}), 1) >= 0.01))"
 _RATIO = f"(case when {_WORDS} > 0 then {_TIMES} / {_WORDS} else 0.0 end)"
 _ONCE = "once as (select * exclude (rn) from (select *, row_number() over (partition by globaleventid order by scraped_at desc nulls last) as rn from articles_raw) where rn = 1)"
 
@@ -45,22 +48,22 @@ def text_clean_features(spark: SparkSession, folder: str) -> DataFrame:
         t.boilerplate_hits(x).alias("boilerplate_hits"), F.round(t.boilerplate_ratio(x), 6).alias("boilerplate_ratio"), t.text_key(x, None).alias("text_hash"), F.size(t.tokens(x)).alias("n_tokens"))
 
 
-@query(f"""with f as (select doc_id, length(coalesce(text, '')) < 500 as flag_short, {_SENT} < 3 as flag_few_sentences, {_HITS} > 2 as flag_boilerplate_hits, {_RATIO} > 0.03 as flag_boilerplate_ratio, {_MARKS} >= 3 as flag_mojibake from documents)
-select *, case when flag_short or flag_few_sentences or flag_boilerplate_hits or flag_boilerplate_ratio or flag_mojibake then 1 else 0 end as quality_bad_score,
-concat_ws(',', case when flag_short then 'short' end, case when flag_few_sentences then 'few_sentences' end, case when flag_boilerplate_hits then 'boilerplate_hits' end,
- case when flag_boilerplate_ratio then 'boilerplate_ratio' end, case when flag_mojibake then 'mojibake' end) as quality_bad_reason from f""")
+@query(f"""with f as (select doc_id, length(coalesce(text, '')) < 500 as flag_short_text, {_SENT} < 3 as flag_few_sentences, {_HITS} > 2 as flag_boilerplate_hits, {_RATIO} > 0.03 as flag_boilerplate_ratio, {_BAD} as flag_mojibake_text from documents)
+select *, case when flag_short_text or flag_few_sentences or flag_boilerplate_hits or flag_boilerplate_ratio or flag_mojibake_text then 1 else 0 end as quality_bad_score,
+concat_ws(',', case when flag_short_text then 'short_text' end, case when flag_few_sentences then 'few_sentences' end, case when flag_boilerplate_hits then 'boilerplate_hits' end,
+ case when flag_boilerplate_ratio then 'boilerplate_ratio' end, case when flag_mojibake_text then 'mojibake_text' end) as quality_bad_reason from f""")
 def quality_flags(spark, folder):
     return table(spark, folder, "documents").select("doc_id", *[c.alias(n) for n, c in t.quality_flags(F.col("text")).items()])
 
 
 @query()
 def boilerplate_sentence_filter(spark, folder):
-    return a.once_per_article(table(spark, folder, "articles_raw")).select("globaleventid", t.content_sentences(F.col("text")).alias("clean_text"))
+    return a.once_per_article(table(spark, folder, "articles_raw")).select("globaleventid", t.mended(F.col("text")).alias("text")).select("globaleventid", t.content_sentences(F.col("text")).alias("clean_text"))
 
 
 @query()
 def mojibake_repair(spark, folder):
-    return a.once_per_article(table(spark, folder, "articles_raw")).where(t.mojibake_marks(F.col("text")) > 0).select("globaleventid", t.mended(F.col("text")).alias("mended_text"))
+    return a.once_per_article(table(spark, folder, "articles_raw")).where(t.looks_misdecoded(F.col("text"))).select("globaleventid", t.mended(F.col("text")).alias("mended_text"))
 
 
 @query(f"""with h as (select doc_id, nullif({_FORM}, '') as form from documents), s as (select form, min(doc_id) as class_id, count(*) as class_size from h where form is not null group by 1)
@@ -135,11 +138,21 @@ def render_prompt(spark, folder):
         F.lit("Actors: "), names, F.lit("\nDate: "), F.coalesce(F.col("sqldate").cast("string"), F.lit("unknown")), F.lit("\nText: "), F.substring(F.coalesce("text", F.lit("")), 1, 8000)).alias("prompt"))
 
 
-@query(f"""with {_ONCE} select globaleventid, (regexp_matches(lower(coalesce(text, '')), 'rebel|militant|insurgent|fighters')) as has_rebel_keyword,
-(length(trim(coalesce(actor1name, ''))) >= 4 and contains(lower(coalesce(text, '')), lower(trim(coalesce(actor1name, ''))))) as has_actor1_signal,
-(length(trim(coalesce(actor2name, ''))) >= 4 and contains(lower(coalesce(text, '')), lower(trim(coalesce(actor2name, ''))))) as has_actor2_signal from once""")
+_LOW = f"lower({_SQUEEZED})"
+
+
+def _signal(column: str) -> str:
+    n = f"lower(trim(regexp_replace(coalesce({column}, ''), '{_WS}', ' ', 'g')))"
+    vague = ", ".join(f"'{v}'" for v in t.VAGUE_ACTORS)
+    return f"({n} not in ({vague}) and length({n}) >= 4 and (contains({n}, ' ') or length({n}) >= 6) and contains({_LOW}, {n}))"
+
+
+@query(f"""with {_ONCE} select globaleventid, ({' or '.join(f"contains({_LOW}, '{w}')" for w in t.CONFLICT_WORDS)}) as has_rebel_keyword,
+{_signal('actor1name')} as has_actor1_signal, {_signal('actor2name')} as has_actor2_signal from once""")
 def keyword_signals(spark, folder):
-    low = F.lower(F.coalesce("text", F.lit("")))
-    named = lambda c: (F.length(F.trim(F.coalesce(c, F.lit("")))) >= 4) & low.contains(F.lower(F.trim(F.coalesce(c, F.lit("")))))
-    return a.once_per_article(table(spark, folder, "articles_raw")).select(
-        "globaleventid", low.rlike("rebel|militant|insurgent|fighters").alias("has_rebel_keyword"), named("actor1name").alias("has_actor1_signal"), named("actor2name").alias("has_actor2_signal"))
+    low = F.lower(t.squeeze(F.coalesce("text", F.lit(""))))
+    named = lambda c: t.useful_actor(F.col(c)) & low.contains(F.lower(t.squeeze(F.coalesce(c, F.lit("")))))
+    rebel = F.lit(False)
+    for word in t.CONFLICT_WORDS:
+        rebel = rebel | low.contains(word)
+    return a.once_per_article(table(spark, folder, "articles_raw")).select("globaleventid", rebel.alias("has_rebel_keyword"), named("actor1name").alias("has_actor1_signal"), named("actor2name").alias("has_actor2_signal"))
