@@ -88,9 +88,10 @@ def test_leak_blocks_and_prefix_are_exact(spark, monkeypatch):
     monkeypatch.setattr(leakage, "BLOCK_ITEMS", 5)
     assert {tuple(r) for r in leakage.leaked(df, held).collect()} == {(i, i) for i, _ in items}
     index = leakage.ItemIndex(items)
-    every = {d: set(index.found(t)) for d, t in docs}
+    index.number()
+    every = {d: set(index.held(*index.spots(t))) for d, t in docs}
     index.order({})
-    assert {d: set(index.found(t)) for d, t in docs} == every
+    assert {d: set(index.held(*index.spots(t))) for d, t in docs} == every == {d: {d} for d, _ in docs}
 
 
 def test_packing(spark):

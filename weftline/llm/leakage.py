@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.session import cut
+
 #: Words of a shingle, and the share of an item's shingles that a document must hold to be a candidate.
 SHINGLE, LEAST_OVERLAP = 3, 0.2
 #: Share of an item's words that runs must cover; words of the shortest run; unmatched words that a run bridges.
@@ -73,27 +75,35 @@ class ItemIndex:
     def needed(self, item: int) -> int:
         return max(1, math.ceil(LEAST_OVERLAP * len(self.places[item])))
 
-    def found(self, text: str) -> list[int]:
-        """The items that a text holds."""
+    def number(self) -> None:
+        """Give shingles numbers, by which documents are kept after they are read once."""
+        self.names = sorted(self.holders)
+        self.numbers = {g: n for n, g in enumerate(self.names)}
+        self.fewest = min((self.needed(i) for i in self.places), default=1)
+
+    def spots(self, text: str) -> tuple[int, list[int], list[int]]:
+        """(words, numbers of the known shingles, their places); no shingles if too few are known for any item."""
         words = words_of(text)
         if len(words) < SHINGLE:
-            return []
-        own = set(shingles(words))
-        first = own & self.prefix.keys()
+            return len(words), [], []
+        own = set(shingles(words)) & self.numbers.keys()
+        if len(own) < self.fewest:
+            return len(words), [], []
+        at = [(j, self.numbers[g]) for j, g in enumerate(shingles(words)) if g in own]
+        return len(words), [g for _, g in at], [j for j, _ in at]
+
+    def held(self, n_words: int, numbers: list[int], places: list[int]) -> list[int]:
+        """The items that a document with these known shingles holds."""
+        at = [(j, self.names[g]) for j, g in zip(places, numbers)]
+        known = {g for _, g in at}
+        first = known & self.prefix.keys()
         if not first:
             return []
-        known = own & self.holders.keys()
         shared = Counter(i for g in known for i in self.holders[g])
-        out, at = [], None
-        for i in {i for g in first for i in self.prefix[g]}:
-            item = self.words[i]
-            if shared[i] < self.needed(i) or len(words) < HELD * len(item):
-                continue
-            if at is None:
-                at = [(j, g) for j, g in enumerate(shingles(words)) if g in known]
-            if covered(self.places[i], at, len(item)) >= HELD * len(item):
-                out.append(i)
-        return out
+        return [
+            i for i in {i for g in first for i in self.prefix[g]}
+            if shared[i] >= self.needed(i) and n_words >= HELD * len(self.words[i]) and covered(self.places[i], at, len(self.words[i])) >= HELD * len(self.words[i])
+        ]
 
 
 def covered(places: dict[tuple, list[int]], at: list[tuple[int, tuple]], length: int) -> int:
@@ -127,7 +137,9 @@ def leaked(documents: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id) for each document that holds an item, wholly or at least half of its words in order.
 
     Rows with null ids or texts and items of fewer than three words give nothing;
-    repeated rows give one pair. Items are read in blocks of ``BLOCK_ITEMS``.
+    repeated rows give one pair. Items are read in blocks of ``BLOCK_ITEMS``. A
+    document's text is read once per block; what is kept of it are its shingles
+    that items know.
     """
     held = items.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
     docs = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -136,36 +148,39 @@ def leaked(documents: DataFrame, items: DataFrame) -> DataFrame:
     for b in range(blocks):
         rows = held.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).collect()
         index = ItemIndex(sorted((r[0], r[1]) for r in rows))
-        index.order(_corpus_counts(docs, index))
-        shared = documents.sparkSession.sparkContext.broadcast(index)
-
-        def find(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            own = shared.value
-            for pdf in batches:
-                hits = [(d, i) for d, t in zip(pdf["doc_id"], pdf["text"]) for i in own.found(t)]
-                yield pd.DataFrame(hits, columns=["doc_id", "item_id"], dtype="int64")
-
-        part = docs.mapInPandas(find, "doc_id long, item_id long")
+        index.number()
+        spotted = cut(_spotted(docs, index))
+        counts = spotted.select(F.explode(F.array_distinct("numbers")).alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n")).collect()
+        index.order({index.names[r[0]]: r[1] for r in counts})
+        part = _verified(spotted, index)
         result = part if result is None else result.unionByName(part)
     return result.distinct()
 
 
-def _corpus_counts(docs: DataFrame, index: ItemIndex) -> dict[tuple, int]:
-    """In how many documents each shingle of the block's items stands; as many counts as the block has shingles."""
-    names = sorted(index.holders)
-    numbers = {g: n for n, g in enumerate(names)}
-    shared = docs.sparkSession.sparkContext.broadcast(numbers)
+def _spotted(docs: DataFrame, index: ItemIndex) -> DataFrame:
+    """(doc_id, n_words, numbers, places) of the documents that know enough shingles of the block's items, from one pass over whole texts."""
+    shared = docs.sparkSession.sparkContext.broadcast(index)
+
+    def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = shared.value
+        for pdf in batches:
+            rows = [(d, *s) for d, t in zip(pdf["doc_id"], pdf["text"]) if (s := own.spots(t))[1]]
+            yield pd.DataFrame(rows, columns=["doc_id", "n_words", "numbers", "places"])
+
+    return docs.mapInPandas(go, "doc_id long, n_words int, numbers array<int>, places array<int>")
+
+
+def _verified(spotted: DataFrame, index: ItemIndex) -> DataFrame:
+    """(doc_id, item_id) by the prefix of rare shingles, the bounds and the runs."""
+    shared = spotted.sparkSession.sparkContext.broadcast(index)
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own, seen = shared.value, Counter()
-        keys = own.keys()
+    def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = shared.value
         for pdf in batches:
-            for text in pdf["text"]:
-                seen.update(own[g] for g in set(shingles(words_of(text))) & keys)
-        yield pd.DataFrame({"g": list(seen.keys()), "n": list(seen.values())}, dtype="int64")
+            hits = [(d, i) for d, n, g, at in zip(pdf["doc_id"], pdf["n_words"], pdf["numbers"], pdf["places"]) for i in own.held(n, list(g), list(at))]
+            yield pd.DataFrame(hits, columns=["doc_id", "item_id"], dtype="int64")
 
-    rows = docs.select("text").mapInPandas(count, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).collect()
-    return {names[r[0]]: r[1] for r in rows}
+    return spotted.mapInPandas(go, "doc_id long, item_id long")
 
 
 def leaked_items(pairs: DataFrame, items: DataFrame) -> DataFrame:
