@@ -25,7 +25,7 @@ DOUBLES = {
     "confusion_and_metrics": "precision recall f1 accuracy kappa fpr", "calibrated_share": "raw_share calibrated_share wilson_low wilson_high", "fdr_bh": "p p_fdr", "spearman_by_actor": "spearman",
     "acf_by_actor": "acf", "regime_summary": "positive_share clear_share unresolved_share", "category_divergence": "js_distance max_change_pp",
     "sample_summary": "median_fatalities least most sd q025 q975 zero_share", "centered_mean": "smooth", "ols_hac_univariate": "beta se", "rolling_forecast": "sse", "lead_lag_profile": "beta",
-    "theta_posterior_mean": "theta", "ar1_by_actor": "ar1", "signal_correlation": "r", "joint_state_confusion": "row_share", "label_comparison": "share", "p5_readings": "total", "incremental_blocks": "total",
+    "near_duplicate_pairs": "similarity", "duplicate_pair_export": "similarity", "theta_posterior_mean": "theta", "ar1_by_actor": "ar1", "signal_correlation": "r", "joint_state_confusion": "row_share", "label_comparison": "share", "p5_readings": "total", "incremental_blocks": "total",
 }
 # Columns that SQL counts as long.
 LONGS = {
