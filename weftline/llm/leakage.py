@@ -12,6 +12,7 @@ runs at most a few item lengths apart.
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 from collections import Counter, defaultdict
@@ -30,6 +31,7 @@ HELD, LEAST_RUN, BRIDGE = 0.48, 8, 5
 #: Items that one pass over the documents holds in memory; more items take more passes.
 BLOCK_ITEMS = 20_000
 
+_STEPS = [(a, b) for a in range(1, BRIDGE + 1) for b in range(max(1, a - 1), min(BRIDGE, a + 1) + 1)]
 _WORD = re.compile(r"[^\W_]+")
 _HIDDEN = dict.fromkeys([0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF])
 
@@ -108,26 +110,29 @@ class ItemIndex:
 
 def covered(places: dict[tuple, list[int]], at: list[tuple[int, tuple]], length: int) -> int:
     """Item words under the best chain of runs: runs follow one another in item and document, at most three item lengths apart."""
-    pairs = sorted((k, j) for j, g in at if g in places for k in places[g])
     runs: list[list[int]] = []
-    for k, j in pairs:
+    last: dict[tuple[int, int], list[int]] = {}
+    for k, j in sorted((k, j) for j, g in at if g in places for k in places[g]):
         best = None
-        for r in runs:
-            a, b = k - r[2], j - r[3]
-            if 0 < a <= BRIDGE and 0 < b <= BRIDGE and abs(a - b) <= 1 and (best is None or r[4] > best[4]):
+        for a, b in _STEPS:
+            r = last.get((k - a, j - b))
+            if r is not None and (best is None or r[4] > best[4]):
                 best = r
         if best is None:
-            runs.append([k, j, k, j, 1])
-        else:
-            best[2], best[3], best[4] = k, j, best[4] + 1
-    long = sorted((r[2] + SHINGLE, r[3] + SHINGLE, r[0], r[1]) for r in runs if r[2] + SHINGLE - r[0] >= LEAST_RUN)
+            best = [k, j, k, j, 0]
+            runs.append(best)
+        elif last.get((best[2], best[3])) is best:
+            del last[best[2], best[3]]
+        best[2], best[3], best[4] = k, j, best[4] + 1
+        last[k, j] = best
+    long = sorted((r[3] + SHINGLE, r[2] + SHINGLE, r[0], r[1]) for r in runs if r[2] + SHINGLE - r[0] >= LEAST_RUN)
+    ends = [r[0] for r in long]
     total: list[int] = []
-    for n, (k_end, _, k, j) in enumerate(long):
-        size = k_end - k
-        most = size
-        for m in range(n):
-            over, before = long[m][0] - k, long[m][1]
-            if over <= 2 and before <= j + 2 and j - before <= 3 * length:
+    for n, (_, k_end, k, j) in enumerate(long):
+        size = most = k_end - k
+        for m in range(bisect.bisect_left(ends, j - 3 * length), min(n, bisect.bisect_right(ends, j + 2))):
+            over = long[m][1] - k
+            if over <= 2:
                 most = max(most, total[m] + size - max(0, over))
         total.append(most)
     return max(total, default=0)
