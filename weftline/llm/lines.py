@@ -24,6 +24,7 @@ MONTHS = (
     "जनवरी फरवरी मार्च अप्रैल मई जून जुलाई अगस्त सितंबर अक्टूबर नवंबर दिसंबर"
 ).split()
 FILLED = {m.upper().casefold() for m in MONTHS} | {"am", "pm"}
+_ANY_DIGIT = re.compile(r"\d")
 _PIECE = re.compile(r"\d+|[^\W\d_]+")
 _CJK_DATE = re.compile(r"(?<=\d)\s*[年月日号號時时分秒]")
 _MIS_DECODED = re.compile("[ÃÂâÐÑØÙÛàá][\u0080-¿ŒœŠšŸŽžƒˆ˜–—‘’‚“”„†‡•…‰‹›€™]|Ð|[РС][ -џ‚ѓ„…†‡€‰‹‘’“”•–—™›]")
@@ -81,7 +82,7 @@ def line_key(line: str) -> str:
     if not text.isascii():
         text = _CJK_DATE.sub(" ", unicodedata.normalize("NFC", text))
     pieces = _PIECE.findall(text)
-    if not any(c.isdigit() for c in text):
+    if not _ANY_DIGIT.search(text):
         key = "".join(pieces) or line.strip()
         if len(line) < 120:
             if len(_KEYS) > 200_000:
@@ -90,7 +91,7 @@ def line_key(line: str) -> str:
         return key
     out: list[str] = []
     for i, piece in enumerate(pieces):
-        if piece[0].isdigit() or (piece in FILLED and ((i and pieces[i - 1][0].isdigit()) or (i + 1 < len(pieces) and pieces[i + 1][0].isdigit()))):
+        if piece[0].isdecimal() or (piece in FILLED and ((i and pieces[i - 1][0].isdecimal()) or (i + 1 < len(pieces) and pieces[i + 1][0].isdecimal()))):
             if not out or out[-1] != "#":
                 out.append("#")
         else:

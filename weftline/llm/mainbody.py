@@ -86,8 +86,7 @@ class PageModel:
         text = line.strip() if line.isascii() else mend(line).strip()
         squashed = _SQUASH.sub("", text.lower()) if site and len(line) < 250 else ""
         words = units(text)
-        w = self.weights
-        found = [w[u] for u in words if u in w]
+        found = [v for v in map(self.weights.get, words) if v is not None]
         n = len(words)
         stem = text.rstrip("\"'”’»」』）)]  ")
         out = (
