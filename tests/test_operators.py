@@ -46,6 +46,7 @@ def jaccard_pairs(texts, similar):
 
 def test_near_duplicates_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(dedup, "COMMON", 5)
+    monkeypatch.setattr(dedup, "CROWDED", 8)
     rng = np.random.default_rng(3)
     base = [" ".join(f"w{v}" for v in rng.integers(0, 400, 90)) for _ in range(6)]
     common = " ".join(f"c{v}" for v in range(95))

@@ -17,10 +17,10 @@ from weftline.session import cut
 
 #: Words of a shingle, similarity of near duplicates, longest length ratio, fewest words of a candidate.
 SHINGLE, SIMILAR, LENGTH_RATIO, LEAST_WORDS = 5, 0.85, 1.6, 80
-#: A shingle in more texts than this is common: common shingles come last in every text's order.
-COMMON = 200
-#: Bits of the texts' row numbers by which the texts of one common shingle are paired in parts.
-PARTS = 8
+#: Shingles in more texts than COMMON come after the others in every text's order, the more frequent the later.
+COMMON = 20
+#: The texts of a shingle in more texts than CROWDED are paired in PARTS x PARTS blocks.
+CROWDED, PARTS = 1_000, 8
 
 
 def exact_classes(docs: DataFrame, key: str = "doc_id", column: str = "text", length: int | None = None) -> DataFrame:
@@ -46,16 +46,16 @@ def near_pairs(reps: DataFrame, similar: float = SIMILAR, ratio: float = LENGTH_
 
     Two sets as similar as that share one of the first (1 - similar) * n + 1
     members of any common order. The order puts rare shingles first, so a text is
-    found under a common one only if it has nothing else; the texts of such a
-    shingle are paired in PARTS x PARTS blocks instead of in one task.
+    found under a common one only if it has nothing else; the texts of a crowded
+    shingle are paired in blocks instead of in one task.
     """
     reps = cut(reps)
-    counts = reps.select(F.explode("shingles").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("df")).where(f"df > {COMMON}").select("g", F.lit(1).alias("common"))
+    counts = reps.select(F.explode("shingles").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("df")).where(f"df > {COMMON}")
     n = F.size("shingles")
     flat = reps.select("id", n.alias("n"), "n_words", F.explode("shingles").alias("g")).join(counts, "g", "left")
-    place = F.row_number().over(Window.partitionBy("id").orderBy(F.coalesce("common", F.lit(0)), "g"))
+    place = F.row_number().over(Window.partitionBy("id").orderBy(F.coalesce("df", F.lit(0)), "g"))
     prefix = flat.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * similar) + 1)
-    prefix = cut(prefix.select("g", F.coalesce("common", F.lit(0)).alias("common"), "id", "n", "n_words", F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int").alias("part")))
+    prefix = cut(prefix.select("g", (F.coalesce("df", F.lit(0)) > CROWDED).cast("int").alias("common"), "id", "n", "n_words", F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int").alias("part")))
     every = F.sequence(F.lit(0), F.lit(PARTS - 1))
     none = F.array(F.lit(-1))
     left = prefix.withColumn("other", F.explode(F.when(F.col("common") == 1, every).otherwise(none))).withColumn("part", F.when(F.col("common") == 1, F.col("part")).otherwise(-1))
