@@ -74,6 +74,18 @@ def test_furniture_lines(articles, truth, models):
     assert body[next(iter(truth[1]))] == "" and "Sign in" not in body[1] and len(body[903]) > 100_000
 
 
+def test_repeats_are_counted_beyond_the_sample(spark, articles, truth, monkeypatch):
+    notice = "Our rural desk closes at noon on market days"
+    tail = [(2000 + i, "ostekvalley.example", 20200101, 200, "text/html", "en", f"{notice}\n{fill(random.Random(i), STORY[0])}", "clash", dt.datetime(2024, 1, 1)) for i in range(6)]
+    both = articles.unionByName(spark.createDataFrame(tail, SCHEMA))
+    whole = mainbody.sampled
+    monkeypatch.setattr(mainbody, "sampled", lambda a: [r for r in whole(a, 60) if r[0] != "ostekvalley.example"])
+    model = mainbody.fit_on(both)
+    assert model.repeats(lines.line_key(notice)) and model.repeated == mainbody.repeated_keys([(r[1], r[6]) for r in [*truth[0], *tail]])
+    once = spark.createDataFrame([(*tail[0][:6], notice, *tail[0][7:])] * 6, SCHEMA)
+    assert not mainbody.corpus_repeats(once)  # one text published again and again
+
+
 def test_languages(articles, truth, models):
     got = {}
     for i, lang in langtags.wrong_or_mixed(articles, models).collect():

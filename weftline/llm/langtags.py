@@ -304,9 +304,9 @@ def fit(paragraphs: list[str]) -> LanguageField:
 
 
 def fit_on(articles: DataFrame) -> tuple[mainbody.PageModel, LanguageField]:
-    """Page model and language field from the bounded sample of articles."""
+    """Page model and language field from the bounded sample of articles; repeated lines are counted over all."""
     sample = mainbody.sampled(articles)
-    pages = mainbody.fit(sample)
+    pages = mainbody.fit(sample, repeated=mainbody.corpus_repeats(articles))
     paragraphs = []
     for domain, text in sample:
         at, story, none = pages.read(text, domain)

@@ -2,15 +2,18 @@
 
 A block is a line. Its features are its length in words, sentence ends, share
 of link-like marks (separators of menus, tag lists and teasers), how much its words belong to furniture or to stories, and
-the same of its neighbours. The word weights come from the pages themselves
-(lines that a site repeats against long lines that occur once) over a bounded
-sample; the tree is trained on the small labelled table in labelled_pages.
+the same of its neighbours. Which lines a site repeats is counted over all
+articles. The word weights come from the pages themselves (lines that a site
+repeats against long lines that occur once) over a bounded sample; the tree is
+trained on the small labelled table in labelled_pages.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from array import array
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -20,10 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm import labelled_pages, residue
-from weftline.llm.lines import END, line_key, mend, units
+from weftline.llm.lines import END, key_number, line_key, mend, units
 
 #: Articles of the sample that word weights and the residue model are fitted on.
 SAMPLE_ROWS = 3_000
+#: Different texts of a site that hold a line which counts as repeated there.
+LEAST_TEXTS = 5
 
 _SQUASH = re.compile(r"[\W_]+")
 _NONE = (0.0,) * 7
@@ -72,17 +77,23 @@ class PageModel:
         self.weights: dict[str, float] = {}
         self.nodes: tuple = (0.5,)
         self.residue = residue.ResidueModel()
-        self.repeated: set[str] = set()
+        self.repeated = array("q")
+        self.counted = False
         self._known: dict[str, tuple] = {}
 
     def forget(self) -> None:
         self._known.clear()
 
+    def repeats(self, key: str) -> bool:
+        """Whether some site repeats the line of this key in the whole table."""
+        at = bisect_left(self.repeated, number := key_number(key))
+        return at < len(self.repeated) and self.repeated[at] == number
+
     def _block(self, line: str, site: str) -> tuple[float, float, float, float, float, float]:
         """(words, sentence ends, ends with a sentence end, weight per word, link marks per word, letters) of one line."""
         known = self._known.get(line)
         if known is not None and (known[2] or not site):
-            return known[0] if not site or site not in known[1] else (*known[0][:6], 1.0)
+            return known[0] if not site or site not in known[1] else self._named(known[0])
         text = line.strip() if line.isascii() else mend(line).strip()
         squashed = _SQUASH.sub("", text.lower()) if site and len(line) < 250 else ""
         words = units(text)
@@ -91,13 +102,17 @@ class PageModel:
         stem = text.rstrip("\"'”’»」』）)]  ")
         out = (
             float(min(n, 80)), float(min(len(END.findall(text)), 6)), float(stem[-1:] in ".!?。！？؟।…") if stem else 0.0,
-            3.0 if len(line) < 160 and line_key(line) in self.repeated else sum(found) / (len(found) + 1.0), len(_LINK.findall(text)) / (n + 1.0), float(len(found)) / (n + 1.0), 0.0,
+            3.0 if len(line) < 160 and self.repeats(line_key(line)) else sum(found) / (len(found) + 1.0), len(_LINK.findall(text)) / (n + 1.0), float(len(found)) / (n + 1.0), 0.0,
         )
         if len(line) < 120:
             if len(self._known) > 100_000:
                 self._known.clear()
             self._known[line] = (out, squashed, bool(site))
-        return (*out[:6], 1.0) if site and site in squashed else out
+        return self._named(out) if site and site in squashed else out
+
+    def _named(self, out: tuple) -> tuple:
+        """Features of a line that names its own site: furniture, however often it stands in the table."""
+        return (*out[:3], 3.0 if self.counted else out[3], *out[4:6], 1.0)
 
     def rows(self, lines: list[str], site: str = "") -> list[list[float]]:
         """Features of each (non-blank) line among its neighbours; ``site`` is the squashed name of the page's site."""
@@ -122,7 +137,8 @@ class PageModel:
             return [], [], False
         lines = [cut[i] for i in at]
         story = [s > 0.5 for s in self.story_share(lines, site_of(domain))]
-        empty = self.residue.holds_no_story(lines, story, self.repeated)
+        site = site_of(domain)
+        empty = self.residue.holds_no_story(lines, story, lambda x: self.repeats(line_key(x)) or bool(site) and len(x) < 300 and site in _SQUASH.sub("", x.lower()))
         return at, story, empty
 
 
@@ -131,23 +147,51 @@ _TABLE_WEIGHT, _SELF_LABELLED = 6, 400
 _THAI = re.compile("[\u0e00-\u0e7f]{20,}")
 
 
-def _seeds(pages: list[tuple[str | None, list[str]]]) -> tuple[dict[str, str], dict[str, str], dict[str, str]]:
+def _numbers(text: str | None) -> list[int]:
+    """Hashes of the distinct line keys of a page, in order."""
+    return [key_number(k) for k in dict.fromkeys(line_key(x) for x in (text or "").split("\n") if x.strip())]
+
+
+def repeated_keys(sample: list[tuple[str | None, str | None]], least: int = LEAST_TEXTS) -> array:
+    """``corpus_repeats`` of rows (domain, text) that are at hand."""
+    texts = {(domain, tuple(numbers)) for domain, text in sample if (numbers := _numbers(text))}
+    per_site = Counter((domain, k) for domain, numbers in texts for k in numbers)
+    return array("q", sorted({k for (_, k), n in per_site.items() if n >= least}))
+
+
+def corpus_repeats(articles: DataFrame, least: int = LEAST_TEXTS) -> array:
+    """Sorted hashes of the line keys that at least ``least`` different texts of one site hold, counted over all articles.
+
+    A text published again says nothing new about its site: texts with the same
+    keys collapse first. Sums of parts are made before rows are shuffled by site
+    and line, so no task holds a hot line. What reaches the driver is 8 bytes for each repeated line.
+    """
+    def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            keys = [_numbers(x) for x in pdf["text"]]
+            yield pd.DataFrame({"site": pdf["site"], "stamp": [key_number(" ".join(map(str, k))) for k in keys], "keys": keys})
+
+    # The site's hash stands for its name (null for none), so that rows of two numbers are counted.
+    rows = articles.where("text is not null").select(F.when(F.col("domain").isNotNull(), F.xxhash64("domain")).alias("site"), "text")
+    texts = rows.mapInPandas(go, "site long, stamp long, keys array<long>").groupBy("site", "stamp").agg(F.first("keys").alias("keys"))
+    often = texts.select("site", F.explode("keys").alias("key")).groupBy("site", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    return array("q", np.sort(often.select("key").distinct().toArrow()["key"].to_numpy()).tobytes())
+
+
+def _seeds(pages: list[tuple[str | None, list[str]]], model: PageModel) -> tuple[dict[str, str], dict[str, str], dict[str, str]]:
     """Distinct lines (by key): surely furniture (repeated on a site), surely story (long, once), and all."""
-    per_site: dict[tuple[str | None, str], int] = Counter()
     where: dict[str, int] = Counter()
     first: dict[str, str] = {}
     copies: set[tuple] = set()
     for site, lines in pages:
         own = {line_key(x): x for x in lines}
-        if (stamp := (site, hash(tuple(own)))) in copies:  # a text published again says nothing new about its site
+        if (stamp := (site, hash(tuple(own)))) in copies:
             continue
         copies.add(stamp)
         for key, line in own.items():
-            per_site[site, key] += 1
             where[key] += 1
             first.setdefault(key, line)
-    often = {k for (_, k), n in per_site.items() if n >= 5}
-    furniture = {k: first[k] for k in often}
+    furniture = {k: x for k, x in first.items() if model.repeats(k)}
     for site, lines in pages:
         if name := site_of(site):
             furniture |= {line_key(x): x for x in lines if len(x) < 300 and name in _SQUASH.sub("", x.lower())}
@@ -172,9 +216,10 @@ def _weights(furniture: list[str], story: list[str], least: int = 2) -> dict[str
     }
 
 
-def fit(sample: list[tuple[str | None, str | None]], rounds: int = 1) -> PageModel:
-    """A model from (domain, text) rows and the labelled table."""
+def fit(sample: list[tuple[str | None, str | None]], rounds: int = 1, repeated: array | None = None) -> PageModel:
+    """A model from (domain, text) rows, the labelled table and the lines that ``repeated`` lists (without it, those of the sample)."""
     model = PageModel()
+    known = repeated_keys(sample) if repeated is None else repeated
     pages = []
     for domain, text in sample:
         if text and (lines := [x.strip() for x in text.split("\n") if x.strip()]):
@@ -182,7 +227,9 @@ def fit(sample: list[tuple[str | None, str | None]], rounds: int = 1) -> PageMod
     table = labelled_pages.pages()
     blocks = [(label, line) for page in table for label, line in page]
     by = {c: [line for label, line in blocks if label == c] for c in "SFR"}
-    furniture, story, every = _seeds(pages)
+    model.repeated = known
+    furniture, story, every = _seeds(pages, model)
+    model.repeated = array("q")
     few = len(furniture) < 200 or len(story) < 200
     trusted = list(by["R"])
     for _, lines in pages:
@@ -208,7 +255,7 @@ def fit(sample: list[tuple[str | None, str | None]], rounds: int = 1) -> PageMod
                     x.append(r)
                     label.append(float(key in story))
         model.nodes = tree(np.array(x), np.array(label))
-        model.repeated = {k for k in furniture if len(k) < 120}
+        model.repeated, model.counted = known, True
         model.forget()
         if step == rounds:
             break
@@ -242,6 +289,11 @@ def sampled(articles: DataFrame, rows: int = SAMPLE_ROWS) -> list[tuple[str | No
     return [(r[0], r[1]) for r in sorted(got, key=lambda r: (r[2], r[1]))]
 
 
+def fit_on(articles: DataFrame) -> PageModel:
+    """The page model of a table: line counts over all articles, the rest from the bounded sample."""
+    return fit(sampled(articles), repeated=corpus_repeats(articles))
+
+
 def read_pages(articles: DataFrame, model: PageModel) -> DataFrame:
     """(globaleventid, domain, no_story, furniture array<int>) per article row, from one pass over whole texts."""
     shared = articles.sparkSession.sparkContext.broadcast(model)
@@ -265,13 +317,13 @@ def furniture_lines(articles: DataFrame, model: PageModel | None = None) -> Data
 
     Lines count from 0 between "\\n". Rows without id or text give nothing; repeated rows give their lines once.
     """
-    model = model or fit(sampled(articles))
+    model = model or fit_on(articles)
     return read_pages(articles, model).where("not no_story").select("globaleventid", F.explode("furniture").alias("line_no")).distinct()
 
 
 def main_text(articles: DataFrame, model: PageModel | None = None) -> DataFrame:
     """(globaleventid, body): each article's story paragraphs, mended, in order; '' where there is no story."""
-    model = model or fit(sampled(articles))
+    model = model or fit_on(articles)
     shared = articles.sparkSession.sparkContext.broadcast(model)
 
     def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

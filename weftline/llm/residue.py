@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -83,22 +84,22 @@ class ResidueModel:
                 self._known[line] = known
         return known
 
-    def holds_no_story(self, lines: list[str], story: list[bool], furniture: set[str]) -> bool:
+    def holds_no_story(self, lines: list[str], story: list[bool], furniture: Callable[[str], bool]) -> bool:
         """Whether the page has no story passage but residue.
 
         ``story`` is the page model's view of each line. A page without any story
         passage needs less evidence: something on it that is no known furniture
-        (keys in ``furniture``) of a site.
+        of a site (``furniture`` tells of a line).
         """
         told = sorted((x for x, s in zip(lines, story) if s), key=len)
         if any(self.score(x) < 0.5 for x in told):
             return False
-        return any(self.score(x) >= 0.5 or (not told and (TRUSTED.search(x) is not None or len(k := line_key(x)) > 8 and k not in furniture)) for x in lines)
+        return any(self.score(x) >= 0.5 or (not told and (TRUSTED.search(x) is not None or len(line_key(x)) > 8 and not furniture(x))) for x in lines)
 
 
 def no_story_articles(articles: DataFrame, model=None) -> DataFrame:
     """(globaleventid) of the articles that hold no story; rows without id or text, and blank texts, are no cases."""
     from weftline.llm import mainbody
 
-    model = model or mainbody.fit(mainbody.sampled(articles))
+    model = model or mainbody.fit_on(articles)
     return mainbody.read_pages(articles, model).where("no_story").select("globaleventid").distinct()
