@@ -136,6 +136,24 @@ def test_regression_equals_numpy(spark):
     assert regress.corrected(f, "a", 0.0, 1.0)["bca"] == pytest.approx(f.beta[0])
 
 
+def test_validation_draws_equal_fits_of_calibrated_panels(spark):
+    rng = np.random.default_rng(5)
+    d = pd.DataFrame([(k, t) for k in range(6) for t in range(30) if (k + t) % 7], columns=["k", "t"])
+    d["n"], d["z"], d["flat"] = rng.integers(40, 90, len(d)), rng.normal(size=len(d)), 1.0
+    d["share"] = rng.binomial(d.n, 0.5) / d.n
+    d["y"] = d.share + 0.3 * d.z + rng.normal(size=len(d))
+    rates = np.array([[0.9, 0.1], [np.nan, np.nan], [0.75, 0.2]])
+    draws = regress.validation_draws(spark.createDataFrame(d), "y", "share", ["z", "flat"], "k", "t", rates, 3, "n")
+    assert len(draws) == 2
+    for got, (tpr, fpr) in zip(draws, rates[[0, 2]]):
+        c = spark.createDataFrame(d.assign(share=((d.share - fpr) / (tpr - fpr)).clip(0, 1)))
+        mean, square = c.selectExpr("avg(share)", "avg(share * share)").first()
+        one = regress.corrected(regress.fit(c, "y", ["share", "z"], "k", "t", 3), "share", regress.index_omega(mean, square, tpr, fpr), regress.count_kappa(c, "n"))
+        assert got == pytest.approx(one, nan_ok=True)
+    name, n, point, spread, hac, both, *_ = regress.combined_errors(draws)[0]
+    assert (name, n) == ("calibrated", 2) and spread > 0 and both == pytest.approx((hac**2 + spread**2) ** 0.5)
+
+
 def test_latent_models():
     rng = np.random.default_rng(5)
     theta = rng.random(150)

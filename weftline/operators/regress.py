@@ -7,10 +7,11 @@ the periods, never of the rows.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -143,6 +144,87 @@ def count_kappa(df: DataFrame, count: str) -> float:
     return (row[0] or 0.0) / math.sqrt(row[1]) if row[1] else math.nan
 
 
+def _fixed_shares(raw: np.ndarray, rates: np.ndarray) -> np.ndarray:
+    """Calibrated shares, one row for each (tpr, fpr)."""
+    return np.clip((raw[None] - rates[:, 1:]) / (rates[:, :1] - rates[:, 1:]), 0, 1)
+
+
+def validation_draws(df: DataFrame, y: str, signal: str, controls: Sequence[str], key: str, period: str, rates: np.ndarray, lags: int, count: str) -> list[dict[str, float]]:
+    """Per (tpr, fpr): ``corrected`` of the fit with ``signal``, a raw share, calibrated by these rates. Rates that are not finite give no draw.
+
+    Sums of products of all replicates come from one pass, their HAC meats from a second one over each key's series.
+    """
+    rates = rates[np.isfinite(rates).all(1)]
+    sample = complete(df, [y, signal, *controls], (count, 1)).select(key, F.col(period).cast("long").alias(period), *[F.col(c).cast("double").alias(c) for c in (signal, *controls, y)], count)
+    g, n = gram(sample, [*controls, y])
+    k = len(controls)
+    keep = [i for i in range(k) if g[i, i] / max(n, 1) - (g[i, -1] / max(n, 1)) ** 2 > 1e-12]
+    if not n or not len(rates):
+        return []
+    xs, at = [controls[i] for i in keep], [*keep, k + 1]
+    p = len(at) + 1
+    design = lambda pdf: np.column_stack([*[pdf[c].to_numpy(float) for c in xs], np.ones(len(pdf))])
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((len(rates), p + 1))
+        for pdf in batches:
+            c = _fixed_shares(pdf[signal].to_numpy(float), rates)
+            total += np.column_stack([(c * c).sum(1), c @ design(pdf), c @ pdf[y].to_numpy(float)])
+        yield pd.DataFrame(total, columns=[f"s{i}" for i in range(p + 1)]).assign(r=np.arange(len(rates)))
+
+    def added(parts: DataFrame, width: int) -> np.ndarray:
+        rows = parts.groupBy("r").agg(*[F.sum(f"s{i}") for i in range(width)]).collect()
+        return np.array([row[1:] for row in sorted(rows, key=lambda row: row[0])], float)
+
+    schema = lambda width: ", ".join(f"s{i} double" for i in range(width)) + ", r long"
+    s = added(sample.mapInPandas(sums, schema(p + 1)), p + 1)
+    grams = np.empty((len(rates), p, p))
+    grams[:, 0, 0], grams[:, 0, 1:], grams[:, 1:, 0], grams[:, 1:, 1:] = s[:, 0], s[:, 1:p], s[:, 1:p], g[np.ix_(at, at)]
+    bread = np.linalg.pinv(grams)
+    xy = np.column_stack([s[:, p], np.tile(g[at, k], (len(rates), 1))])
+    betas = (bread @ xy[:, :, None])[:, :, 0]
+
+    def meat(pdf: pd.DataFrame) -> pd.DataFrame:
+        c, x, t = _fixed_shares(pdf[signal].to_numpy(float), rates), design(pdf), pdf[period].to_numpy()
+        e = pdf[y].to_numpy(float) - c * betas[:, :1] - betas[:, 1:] @ x.T
+        scores = np.zeros((len(rates), int(t.max() - t.min()) + 1, p))  # zero in gaps
+        scores[:, t - t.min()] = np.concatenate([(c * e)[:, :, None], e[:, :, None] * x[None]], 2)
+        total = scores.transpose(0, 2, 1) @ scores
+        for lag in range(1, min(lags, scores.shape[1] - 1) + 1):
+            m = scores[:, lag:].transpose(0, 2, 1) @ scores[:, :-lag]
+            total += (1 - lag / (lags + 1)) * (m + m.transpose(0, 2, 1))
+        return pd.DataFrame(total.reshape(len(rates), p * p), columns=[f"s{i}" for i in range(p * p)]).assign(r=np.arange(len(rates)))
+
+    meats = added(sample.groupBy(key).applyInPandas(meat, schema(p * p)), p * p).reshape(-1, p, p)
+    kappa, out = count_kappa(sample, count), []
+    for r, (tpr, fpr) in enumerate(rates):
+        mean, square = s[r, p - 1] / n, s[r, 0] / n
+        if square - mean**2 <= 1e-12 or n <= p:
+            continue
+        sse = float(g[k, k] - betas[r] @ xy[r])
+        f = Fit([signal, *xs, "intercept"], betas[r], bread[r] @ meats[r] @ bread[r] * (n / (n - p)), n, sse, float(g[k, k] - g[k, -1] ** 2 / n), grams[r])
+        out.append(corrected(f, signal, index_omega(mean, square, tpr, fpr), kappa))
+    return out
+
+
+def combined_errors(draws: Sequence[dict[str, float]]) -> list[tuple]:
+    """(estimator, n, median, validation_se, hac_se, combined_se, p, low, high, unstable): the error of validation joins the HAC error of the fit.
+
+    An estimator with fewer than two draws has no figures; ``unstable`` is the share of draws whose correction has no multiplicative form.
+    """
+    out, unstable = [], float(np.mean([d["largest_eigenvalue"] >= 1 for d in draws])) if draws else math.nan
+    for name, label in (("naive", "calibrated"), ("bca", "bca"), ("bcm", "bcm")):
+        got = [(d[name], d["se"]) for d in draws if math.isfinite(d[name])]
+        if len(got) < 2:
+            out.append((label, len(got), *[math.nan] * 7, unstable))
+            continue
+        b, se = np.array(got).T
+        point, spread, hac = float(np.median(b)), float(b.std(ddof=1)), float(np.median(se))
+        both = math.hypot(hac, spread)
+        out.append((label, len(b), point, spread, hac, both, two_sided_p(point / both) if both else math.nan, float(np.quantile(b, 0.025)), float(np.quantile(b, 0.975)), unstable))
+    return out
+
+
 def rolling_forecasts(df: DataFrame, y: str, xs: Sequence[str], period: str, least: int = 60) -> DataFrame:
     """(period, n, sse): each period predicted from strictly earlier rows. Gram matrices are summed per period; their running sums and solves are on the driver."""
     columns = [*xs, y]

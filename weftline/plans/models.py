@@ -12,7 +12,7 @@ from weftline.functions.maths import chi2_tail
 from weftline.operators import latent
 from weftline.operators import panel as p
 from weftline.operators import regress as r
-from weftline.plans.panels import _LAB, _PANEL, FIRST, _panel
+from weftline.plans.panels import _LAB, _PANEL, FIRST, _events, _panel
 from weftline.session import table
 
 QUERIES: dict = {}
@@ -151,15 +151,22 @@ def joint_sampler(spark, folder):
     return latent.summarise(latent.sample_chains(spark, _counts(spark, folder), chains=4, draws=300, warmup=300))
 
 
+def _paired_cells(spark, folder) -> tuple[int, int, int, int]:
+    """(tp, fn, fp, tn) of the first coder's answer against the second one's, over articles that both coded."""
+    forms = [t.label_form(F.col(f"any_fatalities_mentioned_coder_{n}")) for n in (1, 2)]
+    pairs = table(spark, folder, "inter_annotator").distinct().select(*[f.alias(n) for f, n in zip(forms, "ab")]).where("a <> '' and b <> ''")
+    a, b = F.col("a") == "yes", F.col("b") == "yes"
+    return tuple(int(v) for v in pairs.agg(F.count_if(a & b), F.count_if(~a & b), F.count_if(a & ~b), F.count_if(~a & ~b)).first())
+
+
 @query()
 def validation_bootstrap(spark, folder):
-    """Validation rates resampled; the calibrated mean share of each replicate."""
-    share = table(spark, folder, "inter_annotator").agg(F.avg((t.label_form(F.col("any_fatalities_mentioned_coder_1")) == "yes").cast("double"))).first()[0] or 0.0
-    rates = latent.rate_bootstrap(73, 9, 18, 59, 1000, 20260902)
-    with np.errstate(invalid="ignore"):
-        fixed = np.clip((share - rates[:, 1]) / (rates[:, 0] - rates[:, 1]), 0, 1)
-    ok = fixed[~np.isnan(fixed)]
-    return spark.createDataFrame([(share, float(ok.mean()), float(ok.std(ddof=1)), float(np.quantile(ok, 0.025)), float(np.quantile(ok, 0.975)), len(ok))], "raw double, mean double, sd double, low double, high double, n long")
+    """Paired labels resampled (their four cells suffice); per replicate the share of deadly events is recalibrated and the panel fitted and corrected again."""
+    rates = latent.rate_bootstrap(*_paired_cells(spark, folder), 1000, 20260902)
+    blocks = p.block_panel(_events(spark, folder), 2, "2026-01-01").withColumn("log_events", F.log1p("n_events"))
+    wide = p.leads_and_lags(blocks, "actor_id", "period_index", "log_fatalities", 1, 1)
+    draws = r.validation_draws(wide, "log_fatalities_lead1", "deadly_share", ["log_fatalities", "log_fatalities_lag1", "log_events"], "actor_id", "period_index", rates, 6, "n_events")
+    return spark.createDataFrame(r.combined_errors(draws), "estimator string, n long, median double, validation_se double, hac_se double, combined_se double, combined_p double, low double, high double, unstable double")
 
 
 @query()
