@@ -154,6 +154,41 @@ def test_validation_draws_equal_fits_of_calibrated_panels(spark):
     assert (name, n) == ("calibrated", 2) and spread > 0 and both == pytest.approx((hac**2 + spread**2) ** 0.5)
 
 
+def test_residuals_contrast_season_and_absolute_errors(spark):
+    rng = np.random.default_rng(9)
+    d = pd.DataFrame([(k, t) for k in "ab" for t in range(40)], columns=["k", "t"])
+    d["x"], d["y"] = rng.normal(size=80), rng.normal(size=80)
+    d["fore"], d["back"] = 2 * d.x + rng.normal(size=80), 0.5 * d.x
+    df = spark.createDataFrame(d)
+    f = regress.fit(df, "y", ["x"], "k", "t", 2)
+    e = d.y - d.x * f.beta[0] - f.beta[1]
+    assert regress.residual_ar1(df, f, "y", "k", "t") == pytest.approx(np.mean([e[d.k == k].autocorr() for k in "ab"]))
+    beta, se, _, n = regress.lead_lag_contrast(df, ["x"], {1: "fore", -1: "back"}, "x", "k", "t", 2)
+    assert beta == pytest.approx(np.polyfit(d.x, d.fore - d.back, 1)[0]) and se > 0 and n == 80
+    last = d[d.t == 39]
+    slope, cut = np.polyfit(d.x[d.t < 39], d.y[d.t < 39], 1)
+    got = {r.at: r.sae for r in regress.rolling_forecasts(df.withColumnRenamed("t", "at"), "y", ["x"], "at").collect()}
+    assert got[39] == pytest.approx(np.abs(last.y - cut - slope * last.x).sum())
+    months = np.arange(48.0)
+    wave = 3 * np.sin(2 * math.pi * months / 12)
+    assert regress.two_group_difference(wave + (months > 20), months > 20, 3, False, months)["difference"] == pytest.approx(1)
+    assert regress.two_group_difference(wave + (months > 20), months > 20)["difference"] != pytest.approx(1, abs=0.01)
+
+
+def test_errors_of_several_classes():
+    rates = np.array([[0.9, 0.1], [0.2, 0.8]])
+    shares = np.random.default_rng(1).uniform(size=50)
+    both = np.column_stack([shares, 1 - shares])
+    one = regress.classes_omega(both.mean(0), both.T @ both / 50, rates)
+    assert one[0, 0] == pytest.approx(regress.index_omega(shares.mean(), (shares**2).mean(), 0.9, 0.2))
+    three = np.random.default_rng(2).dirichlet([1, 1, 1], 50)
+    omega = regress.classes_omega(three.mean(0), three.T @ three / 50, np.full((3, 3), 0.1) + 0.7 * np.eye(3))
+    assert omega.shape == (2, 2) and np.linalg.eigvalsh(omega).min() >= -1e-12
+    f = regress.Fit(["a", "b", "intercept"], np.array([1.0, 2.0, 0.5]), np.eye(3), 50, 1.0, 1.0, 50 * np.eye(3))
+    got = regress.corrected_classes(f, ["a", "b"], omega, 1.0)
+    assert [got[s]["bca"] for s in "ab"] == pytest.approx(list(np.array([1.0, 2.0]) + omega @ [1.0, 2.0] / math.sqrt(50)))
+
+
 def test_latent_models():
     rng = np.random.default_rng(5)
     theta = rng.random(150)

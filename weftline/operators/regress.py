@@ -118,17 +118,31 @@ def vifs(f: Fit) -> dict[str, float]:
     return out
 
 
+def residual_ar1(df: DataFrame, f: Fit, y: str, key: str, period: str) -> float:
+    """Mean over keys of the correlation of a fit's residuals with the residuals before them (keys of more than two pairs)."""
+    e = F.col(y).cast("double") - sum((float(b) * (F.lit(1.0) if c == "intercept" else F.col(c).cast("double")) for c, b in zip(f.names, f.beta)), F.lit(0.0))
+    pairs = df.select(key, e.alias("a"), F.lag(e).over(Window.partitionBy(key).orderBy(period)).alias("b")).where("b is not null")
+    each = pairs.groupBy(key).agg(F.corr("a", "b").alias("ar1"), F.count(F.lit(1)).alias("n")).where("n > 2 and not isnan(ar1)")
+    got = each.agg(F.avg("ar1")).first()[0]
+    return math.nan if got is None else got
+
+
 def corrected(f: Fit, signal: str, omega: float, kappa: float) -> dict[str, float]:
     """Additive (bca) and multiplicative (bcm) correction of one signal's coefficient for the variance ``omega`` of its error."""
-    n, i = f.n, f.names.index(signal)
+    return corrected_classes(f, [signal], np.array([[omega]]), kappa)[signal]
+
+
+def corrected_classes(f: Fit, signals: Sequence[str], omega: np.ndarray, kappa: float) -> dict[str, dict[str, float]]:
+    """``corrected`` of several signals together, given the covariance ``omega`` of their errors."""
+    n, at = f.n, [f.names.index(s) for s in signals]
     block = np.zeros_like(f.gram)
-    block[i, i] = omega
+    block[np.ix_(at, at)] = omega
     a = kappa / math.sqrt(n) * np.linalg.pinv(f.gram / n) @ block
     eye = np.eye(len(f.beta))
     size = float(np.abs(np.linalg.eigvals(a)).max())
     bca = (eye + a) @ f.beta
     bcm = np.linalg.solve(eye - a, f.beta) if size < 1 and abs(np.linalg.det(eye - a)) > 1e-12 else np.full(len(f.beta), math.nan)
-    return {"naive": float(f.beta[i]), "bca": float(bca[i]), "bcm": float(bcm[i]), "se": float(math.sqrt(max(f.cov[i, i], 0))), "largest_eigenvalue": size}
+    return {s: {"naive": float(f.beta[i]), "bca": float(bca[i]), "bcm": float(bcm[i]), "se": float(math.sqrt(max(f.cov[i, i], 0))), "largest_eigenvalue": size} for s, i in zip(signals, at)}
 
 
 def index_omega(mean_theta: float, mean_square: float, tpr: float, fpr: float) -> float:
@@ -138,6 +152,16 @@ def index_omega(mean_theta: float, mean_square: float, tpr: float, fpr: float) -
     return max(0.0, (raw * (1 - 2 * fpr) + fpr**2) / gap**2 - mean_square)
 
 
+def classes_omega(means: np.ndarray, squares: np.ndarray, rates: np.ndarray) -> np.ndarray:
+    """``index_omega`` of several classes without the last: ``means`` of the calibrated shares, ``squares`` the means of their products,
+    ``rates`` the row-normalised confusion matrix (rows truth); negative eigenvalues are set to 0. Of two classes it is ``index_omega``: the original workflow multiplies by the rates
+    once more (M-10, M-11), which is no variance of the corrected label."""
+    left = np.linalg.pinv(rates @ rates.T) @ rates
+    full = (left @ np.diag(rates.T @ means) @ left.T - squares)[:-1, :-1]
+    values, vectors = np.linalg.eigh((full + full.T) / 2)
+    return vectors @ np.diag(np.maximum(values, 0)) @ vectors.T
+
+
 def count_kappa(df: DataFrame, count: str) -> float:
     """Sum of 1 / count over rows, by the root of the rows."""
     row = df.agg(F.sum(1.0 / F.col(count)), F.count(F.lit(1))).first()
@@ -226,7 +250,7 @@ def combined_errors(draws: Sequence[dict[str, float]]) -> list[tuple]:
 
 
 def rolling_forecasts(df: DataFrame, y: str, xs: Sequence[str], period: str, least: int = 60) -> DataFrame:
-    """(period, n, sse): each period predicted from strictly earlier rows. Gram matrices are summed per period; their running sums and solves are on the driver."""
+    """(period, n, sse, sae), squared and absolute errors: each period predicted from strictly earlier rows. Gram matrices are summed per period; their running sums and solves are on the driver."""
     columns = [*xs, y]
     cols = [F.col(c).cast("double") for c in columns] + [F.lit(1.0)]
     k = len(cols)
@@ -239,7 +263,7 @@ def rolling_forecasts(df: DataFrame, y: str, xs: Sequence[str], period: str, lea
         total += np.array(row[1:], float).reshape(k, k)
     table = F.broadcast(df.sparkSession.createDataFrame(betas, "t long, b array<double>"))
     guess = sum((F.col("b")[i] * F.col(c) for i, c in enumerate(xs)), F.col("b")[len(xs)])
-    return df.join(table, F.col(period) == F.col("t")).groupBy(F.col("t").alias(period)).agg(F.count(F.lit(1)).alias("n"), F.sum((F.col(y) - guess) ** 2).alias("sse"))
+    return df.join(table, F.col(period) == F.col("t")).groupBy(F.col("t").alias(period)).agg(F.count(F.lit(1)).alias("n"), F.sum((F.col(y) - guess) ** 2).alias("sse"), F.sum(F.abs(F.col(y) - guess)).alias("sae"))
 
 
 def lead_lag_table(df: DataFrame, xs: Sequence[str], outcomes: dict[int, str], signal: str, key: str, period: str, lags: int) -> list[tuple]:
@@ -254,10 +278,17 @@ def lead_lag_table(df: DataFrame, xs: Sequence[str], outcomes: dict[int, str], s
     return out
 
 
-def two_group_difference(values: np.ndarray, post: np.ndarray, lags: int = 3, trend: bool = False) -> dict[str, float]:
-    """Difference of a single series' mean after a cut, with positional HAC errors (lag at most n - 1), optionally net of a linear trend."""
+def lead_lag_contrast(df: DataFrame, xs: Sequence[str], outcomes: dict[int, str], signal: str, key: str, period: str, lags: int, horizon: int = 1) -> tuple[float, float, float, int]:
+    """(beta, se, p, n) of a signal on the outcome ``horizon`` ahead less the one as far behind, over the rows of ``lead_lag_table``."""
+    sample = complete(df, [*xs, *outcomes.values()]).withColumn("_contrast", F.col(outcomes[horizon]) - F.col(outcomes[-horizon]))
+    return lead_lag_table(sample, xs, {0: "_contrast"}, signal, key, period, lags)[0][1:]
+
+
+def two_group_difference(values: np.ndarray, post: np.ndarray, lags: int = 3, trend: bool = False, months: np.ndarray | None = None) -> dict[str, float]:
+    """Difference of a single series' mean after a cut, with positional HAC errors (lag at most n - 1), optionally net of a linear trend and, given the ``months``, of a yearly wave."""
     n = len(values)
-    x = np.column_stack([post.astype(float), np.ones(n), *([np.arange(n) / max(n - 1, 1)] if trend else [])])
+    x = np.column_stack([post.astype(float), np.ones(n), *([np.arange(n) / max(n - 1, 1)] if trend else []),
+                         *([] if months is None else [np.sin(2 * math.pi * months / 12), np.cos(2 * math.pi * months / 12)])])
     bread = np.linalg.pinv(x.T @ x)
     beta = bread @ x.T @ values
     s = x * (values - x @ beta)[:, None]

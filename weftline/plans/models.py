@@ -58,8 +58,9 @@ def ols_hac_panel(spark, folder):
 
 @query()
 def ols_diagnostics(spark, folder):
-    f = r.fit(_sample(spark, folder), "y_lead1", XS, "actor_id", "month", 6, signals=["deadly", "log_events"])
-    return spark.createDataFrame([(k, float(v)) for k, v in f.diagnostics.items()] + [(f"vif_{k}", v) for k, v in r.vifs(f).items()], "name string, value double")
+    s = _sample(spark, folder)
+    f = r.fit(s, "y_lead1", XS, "actor_id", "month", 6, signals=["deadly", "log_events"])
+    return spark.createDataFrame([(k, float(v)) for k, v in f.diagnostics.items()] + [("residual_ar1", r.residual_ar1(s, f, "y_lead1", "actor_id", "month"))] + [(f"vif_{k}", v) for k, v in r.vifs(f).items()], "name string, value double")
 
 
 @query()
@@ -78,18 +79,19 @@ b as (select month, (n * sxz - sx * sz) / (n * sxx - sx * sx) as slope, sz / n -
 select c.month, count(*) as n, sum((z - cut - slope * x) ** 2) as sse from c join b on b.month = c.month group by 1""")
 def rolling_forecast(spark, folder):
     lead = p.leads_and_lags(_panel(spark, folder), "actor_id", "month", "y", 1, 0).where("y_lead1 is not null")
-    return r.rolling_forecasts(lead, "y_lead1", ["y"], "month")
+    return r.rolling_forecasts(lead, "y_lead1", ["y"], "month").drop("sae")
 
 
 @query()
 def forecast_uncertainty(spark, folder):
     s = _sample(spark, folder)
-    a = r.rolling_forecasts(s, "y_lead1", XS, "month").withColumnRenamed("sse", "sse_full")
-    b = r.rolling_forecasts(s, "y_lead1", XS[:3], "month").select("month", F.col("sse").alias("sse_base"))
+    a = r.rolling_forecasts(s, "y_lead1", XS, "month").withColumnsRenamed({"sse": "sse_full", "sae": "sae_full"})
+    b = r.rolling_forecasts(s, "y_lead1", XS[:3], "month").select("month", F.col("sse").alias("sse_base"), F.col("sae").alias("sae_base"))
     per = a.join(b, "month").orderBy("month").toPandas()
     draws = latent.cluster_bootstrap(per.sse_full.to_numpy(), per.sse_base.to_numpy(), per.n.to_numpy(float), 1000, 8731)
     full, base = math.sqrt(per.sse_full.sum() / per.n.sum()), math.sqrt(per.sse_base.sum() / per.n.sum())
-    return spark.createDataFrame([(full, base, full - base, float(np.quantile(draws, 0.025)), float(np.quantile(draws, 0.975)))], "rmse_full double, rmse_base double, difference double, low double, high double")
+    return spark.createDataFrame([(full, base, full - base, float(np.quantile(draws, 0.025)), float(np.quantile(draws, 0.975)), float(per.sae_full.sum() / per.n.sum()), float(per.sae_base.sum() / per.n.sum()))],
+                                 "rmse_full double, rmse_base double, difference double, low double, high double, mae_full double, mae_base double")
 
 
 @query(f"""{_PANEL}, o as (select b.actor_id, b.month, b.y as x, q.h, v.y as z from bal b join (select unnest([-2, -1, 1, 2]) as h) q on true left join bal v on v.actor_id = b.actor_id and v.month = b.month + q.h),
@@ -101,11 +103,19 @@ def lead_lag_profile(spark, folder):
     return spark.createDataFrame([(h, b, n) for h, b, _, _, n in rows], "h int, beta double, n long")
 
 
+@query()
+def lead_lag_contrast(spark, folder):
+    wide = p.at_offsets(_panel(spark, folder).select("actor_id", "month", "y"), "actor_id", "month", "y", (-2, -1, 1, 2))
+    row = r.lead_lag_contrast(wide, ["y"], {-2: "y_hm2", -1: "y_hm1", 1: "y_h1", 2: "y_h2"}, "y", "actor_id", "month", 6)
+    return spark.createDataFrame([row], "beta double, se double, p double, n long")
+
+
 @query()
 def regime_difference(spark, folder):
     per = _panel(spark, folder).groupBy("month").agg(F.avg("y").alias("y")).orderBy("month").toPandas()
     post = (per.month >= 2021 * 12 + 9).to_numpy()
-    rows = [(name, *r.two_group_difference(per.y.to_numpy(), post, 3, trend).values()) for name, trend in (("plain", False), ("trend", True))]
+    waves = (("plain", False, None), ("trend", True, None), ("trend and season", True, per.month.to_numpy(float)))
+    rows = [(name, *r.two_group_difference(per.y.to_numpy(), post, 3, trend, months).values()) for name, trend, months in waves]
     return spark.createDataFrame([(n, float(d), float(se), float(pv), int(k)) for n, d, se, pv, k in rows], "model string, difference double, se double, p double, n long")
 
 
