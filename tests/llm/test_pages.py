@@ -86,6 +86,15 @@ def test_repeats_are_counted_beyond_the_sample(spark, articles, truth, monkeypat
     assert not mainbody.corpus_repeats(once)  # one text published again and again
 
 
+def test_repeats_are_known_at_any_length():
+    notice = "This site and the firms it works with place trackers on your device so that your choices are kept; you may agree or set limits at any time."
+    model = mainbody.PageModel()
+    model.repeated = mainbody.repeated_keys([("a.example", f"{notice}\n{i * 'x'}") for i in range(1, 6)])
+    wide = "   ".join(notice.split())
+    assert len(wide) > 160 and model._block(notice, "")[3] == model._block(wide, "")[3] == 3.0 and model._block(2 * notice, "")[3] == 0.0
+    assert model._block("  ".join(("Harlon Post " + notice).split()) + 90 * " " + ".", "harlonpost")[6] == 1.0
+
+
 def test_languages(articles, truth, models):
     got = {}
     for i, lang in langtags.wrong_or_mixed(articles, models).collect():

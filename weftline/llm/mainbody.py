@@ -31,6 +31,9 @@ SAMPLE_ROWS = 3_000
 LEAST_TEXTS = 5
 
 _SQUASH = re.compile(r"[\W_]+")
+#: ASCII bytes in lower case, and those that are neither letters nor digits.
+_LOWER = bytes(range(256)).lower()
+_NO_WORD = bytes(b for b in range(128) if not chr(b).isalnum())
 _NONE = (0.0,) * 7
 _LINK = re.compile(r"\s[/–—-]\s|[|·>•»#,،、，]|https?:|www\.")
 
@@ -64,6 +67,12 @@ def site_of(domain: str | None) -> str:
     return name if len(name) > 5 else ""
 
 
+def _letters(line: str) -> str:
+    """A line's letters and digits, for a look at whether it names its site; '' from 250 on: a long paragraph may tell of its paper in a story."""
+    squashed = line.encode().translate(_LOWER, _NO_WORD).decode() if line.isascii() else _SQUASH.sub("", line.lower())
+    return squashed if len(squashed) < 250 else ""
+
+
 def leaf(node: tuple, row: list[float]) -> float:
     while len(node) == 4:
         node = node[2] if row[node[0]] <= node[1] else node[3]
@@ -95,14 +104,14 @@ class PageModel:
         if known is not None and (known[2] or not site):
             return known[0] if not site or site not in known[1] else self._named(known[0])
         text = line.strip() if line.isascii() else mend(line).strip()
-        squashed = _SQUASH.sub("", text.lower()) if site and len(line) < 250 else ""
+        squashed = _letters(text) if site else ""
         words = units(text)
         found = [v for v in map(self.weights.get, words) if v is not None]
         n = len(words)
         stem = text.rstrip("\"'”’»」』）)]  ")
         out = (
             float(min(n, 80)), float(min(len(END.findall(text)), 6)), float(stem[-1:] in ".!?。！？؟।…") if stem else 0.0,
-            3.0 if len(line) < 160 and self.repeats(line_key(line)) else sum(found) / (len(found) + 1.0), len(_LINK.findall(text)) / (n + 1.0), float(len(found)) / (n + 1.0), 0.0,
+            3.0 if self.repeats(line_key(line)) else sum(found) / (len(found) + 1.0), len(_LINK.findall(text)) / (n + 1.0), float(len(found)) / (n + 1.0), 0.0,
         )
         if len(line) < 120:
             if len(self._known) > 100_000:
@@ -138,7 +147,7 @@ class PageModel:
         lines = [cut[i] for i in at]
         story = [s > 0.5 for s in self.story_share(lines, site_of(domain))]
         site = site_of(domain)
-        empty = self.residue.holds_no_story(lines, story, lambda x: self.repeats(line_key(x)) or bool(site) and len(x) < 300 and site in _SQUASH.sub("", x.lower()))
+        empty = self.residue.holds_no_story(lines, story, lambda x: self.repeats(line_key(x)) or bool(site) and site in _letters(x))
         return at, story, empty
 
 
