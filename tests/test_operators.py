@@ -189,6 +189,15 @@ def test_errors_of_several_classes():
     assert [got[s]["bca"] for s in "ab"] == pytest.approx(list(np.array([1.0, 2.0]) + omega @ [1.0, 2.0] / math.sqrt(50)))
 
 
+def test_prompts_hold_whole_texts(spark, tmp_path):
+    from weftline.plans import texts
+
+    long = "word " * 4000 + "end"
+    one = {"globaleventid": 1, "actor1name": "A", "actor2name": "B", "sqldate": 20200101, "text": long, "scraped_at": dt.datetime(2024, 1, 1)}
+    spark.createDataFrame([one]).write.parquet(str(tmp_path / "articles_raw.parquet"))
+    assert texts.QUERIES["render_prompt"](spark, str(tmp_path)).first()["prompt"].endswith(long)
+
+
 def test_latent_models():
     rng = np.random.default_rng(5)
     theta = rng.random(150)

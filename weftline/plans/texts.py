@@ -148,7 +148,7 @@ def chunk_text(spark, folder):
 def render_prompt(spark, folder):
     names = t.join_unique(F.array("actor1name", "actor2name"))
     return a.once_per_article(table(spark, folder, "articles_raw")).select("globaleventid", F.concat(
-        F.lit("Actors: "), names, F.lit("\nDate: "), F.coalesce(F.col("sqldate").cast("string"), F.lit("unknown")), F.lit("\nText: "), F.substring(F.coalesce("text", F.lit("")), 1, 8000)).alias("prompt"))
+        F.lit("Actors: "), names, F.lit("\nDate: "), F.coalesce(F.col("sqldate").cast("string"), F.lit("unknown")), F.lit("\nText: "), F.coalesce("text", F.lit(""))).alias("prompt"))
 
 
 _LOW = f"lower({_SQUEEZED})"
