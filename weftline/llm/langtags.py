@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm import mainbody
-from weftline.llm.lines import mend
+from weftline.llm.lines import key_number, mend
 
 LANGUAGES = ("en", "es", "fr", "de", "it", "pt", "tr", "ru", "uk", "ar", "fa", "hi", "th", "zh", "ja")
 #: Story paragraphs of the sample that the field is trained on.
@@ -305,15 +305,15 @@ def fit(paragraphs: list[str]) -> LanguageField:
 
 def fit_on(articles: DataFrame) -> tuple[mainbody.PageModel, LanguageField]:
     """Page model and language field from the bounded sample of articles; repeated lines are counted over all."""
-    sample = mainbody.sampled(articles)
-    pages = mainbody.fit(sample, repeated=mainbody.corpus_repeats(articles))
-    paragraphs = []
+    keyed, sample = mainbody.keyed_and_sample(articles)
+    pages = mainbody.fit(sample, repeated=mainbody.corpus_repeats(keyed))
+    paragraphs = set()
     for domain, text in sample:
         at, story, none = pages.read(text, domain)
-        if not none and len(paragraphs) < TRAIN_PARAGRAPHS:
+        if not none:
             cut = text.split("\n")
-            paragraphs += [cut[i] for i, s in zip(at, story) if s][:2]
-    return pages, fit(paragraphs)
+            paragraphs |= {cut[i] for i, s in zip(at, story) if s}
+    return pages, fit(sorted(paragraphs, key=key_number)[:TRAIN_PARAGRAPHS])
 
 
 _PARAGRAPH = "globaleventid long, line_no int, lang string, confidence double, n_words int, parts array<struct<lang:string,n_words:int,confidence:double>>"

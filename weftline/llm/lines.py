@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterable
 
 import xxhash
 
@@ -24,8 +25,25 @@ MONTHS = (
     "जनवरी फरवरी मार्च अप्रैल मई जून जुलाई अगस्त सितंबर अक्टूबर नवंबर दिसंबर"
 ).split()
 FILLED = {m.upper().casefold() for m in MONTHS} | {"am", "pm"}
-_ANY_DIGIT = re.compile(r"\d")
-_PIECE = re.compile(r"\d+|[^\W\d_]+")
+_LONGEST = max(map(len, FILLED))
+_FAR_DIGITS = "".join(c for c in map(chr, range(128, 0x20000)) if c.isdecimal())
+#: Digits beyond ASCII, those of the first plane apart: a set of higher ones is slow to search.
+_FAR_DIGIT, _HIGH_DIGIT = (re.compile("[" + "".join(c for c in _FAR_DIGITS if (ord(c) > 0xFFFF) is high) + "]") for high in (False, True))
+
+
+def _leads(letters: Iterable[str]) -> re.Pattern:
+    """Leading UTF-8 bytes of letters: a look at bytes spares most searches for the letters."""
+    return re.compile(b"[" + b"".join(sorted({c.encode()[:1] for c in letters})) + b"]")
+
+
+_FAR_LEAD, _HIGH_LEAD, _DATE_LEAD = _leads(_FAR_DIGITS), _leads("\U00010000"), _leads("年月日号號時时分秒")
+_SPACELESS_LEAD = _leads(chr(c) for lo, hi in ((0xE00, 0xFFF), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x9FFF), (0xF900, 0xFAFF)) for c in range(lo, hi + 1))
+#: ASCII bytes with digits as zero characters; ASCII bytes in lower case; those that are neither letters nor digits (0 stands for what is filled in).
+_HOLED = bytes(0 if 48 <= b < 58 else b for b in range(256))
+_LOWER = bytes(range(256)).lower()
+_NO_WORD = bytes(b for b in range(1, 128) if not chr(b).isalnum())
+_NO_LETTER = re.compile(r"[^\w\x00]+")
+_HOLES = re.compile("\x00+")
 _CJK_DATE = re.compile(r"(?<=\d)\s*[年月日号號時时分秒]")
 _MIS_DECODED = re.compile("[ÃÂâÐÑØÙÛàá][\u0080-¿ŒœŠšŸŽžƒˆ˜–—‘’‚“”„†‡•…‰‹›€™]|Ð|[РС][ -џ‚ѓ„…†‡€‰‹‘’“”•–—™›]")
 _SPACELESS = re.compile("[฀-๿ༀ-࿿ក-៿぀-ヿ㐀-鿿豈-﫿]+")
@@ -73,32 +91,61 @@ def _mend_parts(text: str) -> str:
     return " ".join(out)
 
 
+def squeezed(text: str) -> str:
+    """Letters, digits and zero characters of a text, ASCII ones in lower case."""
+    raw = text.encode().translate(_LOWER, _NO_WORD).decode()
+    return raw if raw.isascii() else _NO_LETTER.sub("", raw)
+
+
+def _edges(part: str, before: bool, after: bool) -> str:
+    """A part between digits without the month names and day halves that stand beside them."""
+    start, end = 0, len(part)
+    if before:
+        while start < end and not part[start].isalnum():
+            start += 1
+        stop = start
+        while stop < end and stop - start <= _LONGEST and part[stop].isalnum():
+            stop += 1
+        if part[start:stop] in FILLED:
+            start = stop
+    if after:
+        while end > start and not part[end - 1].isalnum():
+            end -= 1
+        stop = end
+        while stop > start and end - stop <= _LONGEST and part[stop - 1].isalnum():
+            stop -= 1
+        if part[stop:end] in FILLED:
+            end = stop
+    return part[start:end]
+
+
 def line_key(line: str) -> str:
     """What is left of a line without case, spacing, punctuation, dates, times and numbers; '' for a blank line."""
     known = _KEYS.get(line)
     if known is not None:
         return known
-    text = line.upper().casefold()
-    if not text.isascii():
-        text = _CJK_DATE.sub(" ", unicodedata.normalize("NFC", text))
-    pieces = _PIECE.findall(text)
-    if not _ANY_DIGIT.search(text):
-        key = "".join(pieces) or line.strip()
-        if len(line) < 120:
-            if len(_KEYS) > 200_000:
-                _KEYS.clear()
-            _KEYS[line] = key
-        return key
-    out: list[str] = []
-    for i, piece in enumerate(pieces):
-        if piece[0].isdecimal() or (piece in FILLED and ((i and pieces[i - 1][0].isdecimal()) or (i + 1 < len(pieces) and pieces[i + 1][0].isdecimal()))):
-            if not out or out[-1] != "#":
-                out.append("#")
-        else:
-            out.append(piece)
-    key = "".join(out)
-    if not key and (mark := line.strip()):
-        key = mark
+    plain = line.isascii()
+    text = line.lower() if plain else unicodedata.normalize("NFC", line.upper().casefold())
+    if "\x00" in text:
+        text = text.replace("\x00", " ")
+    raw = text.encode()
+    if not plain and _DATE_LEAD.search(raw):
+        text = _CJK_DATE.sub(" ", text)
+        raw = text.encode()
+    holed = raw.translate(_HOLED)
+    if not plain and _FAR_LEAD.search(raw):
+        text = _FAR_DIGIT.sub("\x00", holed.decode())
+        if _HIGH_LEAD.search(raw):
+            text = _HIGH_DIGIT.sub("\x00", text)
+    elif b"\x00" in holed:
+        text = holed.decode()
+    if "\x00" in text:
+        parts = text.split("\x00")
+        last = len(parts) - 1
+        text = "\x00".join([_edges(x, i > 0, i < last) if x else x for i, x in enumerate(parts)])
+        key = _HOLES.sub("#", squeezed(text))
+    else:
+        key = squeezed(text) or line.strip()
     if len(line) < 120:
         if len(_KEYS) > 200_000:
             _KEYS.clear()
@@ -112,14 +159,19 @@ def key_number(key: str) -> int:
     return h - (1 << 64) if h >= 1 << 63 else h
 
 
-_MARKS = re.compile("[" + re.escape(".,;:!?\"()«»„“”…؟،।。！？「」『』、，；：‹›—–·•|/#>*[]") + "]")
-_DIGIT = re.compile("[1-9]")
+_MARKS = ".,;:!?\"()«»„“”…؟،।。！？「」『』、，；：‹›—–·•|/#>*[]"
+_OTHER_MARKS = re.compile("[" + re.escape("".join(c for c in _MARKS if not c.isascii())) + "]")
+#: ASCII bytes in lower case, marks as blanks, digits as 0.
+_PLAIN = bytes(32 if b < 128 and chr(b) in _MARKS else 48 if 48 < b < 58 else b for b in _LOWER)
 
 
 def units(text: str) -> list[str]:
     """Lower-case words; runs of scripts without spaces give their pairs of letters instead."""
-    words = _DIGIT.sub("0", _MARKS.sub(" ", text)).lower().split()
-    if text.isascii() or not _SPACELESS.search(text):
+    raw = text.encode().translate(_PLAIN)
+    if raw.isascii():
+        return raw.decode().split()
+    words = _OTHER_MARKS.sub(" ", raw.decode()).lower().split()
+    if not _SPACELESS_LEAD.search(raw) or not _SPACELESS.search(text):
         return words
     out: list[str] = []
     for w in words:

@@ -24,16 +24,18 @@ from pyspark.sql import functions as F
 
 from weftline.llm import labelled_pages, residue
 from weftline.llm.lines import END, key_number, line_key, mend, units
+from weftline.session import cut
 
 #: Articles of the sample that word weights and the residue model are fitted on.
 SAMPLE_ROWS = 3_000
+#: Sites of the sample from which on a line that they have is no sign of a story by itself.
+SHARED_SITES = 3
 #: Different texts of a site that hold a line which counts as repeated there.
 LEAST_TEXTS = 5
 
-_SQUASH = re.compile(r"[\W_]+")
-#: ASCII bytes in lower case, and those that are neither letters nor digits.
-_LOWER = bytes(range(256)).lower()
-_NO_WORD = bytes(b for b in range(128) if not chr(b).isalnum())
+#: A line names its site if the name is at least one in so many of its letters: a long paragraph may tell of its paper in a story.
+NAME_SHARE = 40
+
 _NONE = (0.0,) * 7
 _LINK = re.compile(r"\s[/–—-]\s|[|·>•»#,،、，]|https?:|www\.")
 
@@ -62,15 +64,14 @@ def tree(x: np.ndarray, y: np.ndarray, depth: int = 6, least: int = 3) -> tuple:
 
 
 def site_of(domain: str | None) -> str:
-    """A site's name as it may stand in its lines: the domain's first label, squashed; '' if that says little."""
-    name = _SQUASH.sub("", (domain or "").lower().removeprefix("www.").split(".")[0])
+    """A site's name as it may stand in line keys: that of the domain's first label; '' if that says little."""
+    name = line_key((domain or "").lower().removeprefix("www.").split(".")[0])
     return name if len(name) > 5 else ""
 
 
-def _letters(line: str) -> str:
-    """A line's letters and digits, for a look at whether it names its site; '' from 250 on: a long paragraph may tell of its paper in a story."""
-    squashed = line.encode().translate(_LOWER, _NO_WORD).decode() if line.isascii() else _SQUASH.sub("", line.lower())
-    return squashed if len(squashed) < 250 else ""
+def names_site(key: str, site: str) -> bool:
+    """Whether the line of a key is one that names its site."""
+    return bool(site) and len(key) <= NAME_SHARE * len(site) and site in key
 
 
 def leaf(node: tuple, row: list[float]) -> float:
@@ -98,34 +99,41 @@ class PageModel:
         at = bisect_left(self.repeated, number := key_number(key))
         return at < len(self.repeated) and self.repeated[at] == number
 
-    def _block(self, line: str, site: str) -> tuple[float, float, float, float, float, float]:
-        """(words, sentence ends, ends with a sentence end, weight per word, link marks per word, letters) of one line."""
+    def _block(self, line: str, site: str) -> tuple[tuple[float, ...], str, bool]:
+        """Of one line: (words, sentence ends, ends with a sentence end, weight per word, link marks per word, letters, names its site), its key, and whether it is known furniture."""
         known = self._known.get(line)
-        if known is not None and (known[2] or not site):
-            return known[0] if not site or site not in known[1] else self._named(known[0])
-        text = line.strip() if line.isascii() else mend(line).strip()
-        squashed = _letters(text) if site else ""
-        words = units(text)
-        found = [v for v in map(self.weights.get, words) if v is not None]
-        n = len(words)
-        stem = text.rstrip("\"'”’»」』）)]  ")
-        out = (
-            float(min(n, 80)), float(min(len(END.findall(text)), 6)), float(stem[-1:] in ".!?。！？؟।…") if stem else 0.0,
-            3.0 if self.repeats(line_key(line)) else sum(found) / (len(found) + 1.0), len(_LINK.findall(text)) / (n + 1.0), float(len(found)) / (n + 1.0), 0.0,
-        )
-        if len(line) < 120:
-            if len(self._known) > 100_000:
-                self._known.clear()
-            self._known[line] = (out, squashed, bool(site))
-        return self._named(out) if site and site in squashed else out
+        if known is None:
+            text = line.strip() if line.isascii() else mend(line).strip()
+            key = line_key(line)
+            words = units(text)
+            found = [v for v in map(self.weights.get, words) if v is not None]
+            n = len(words)
+            stem = text.rstrip("\"'”’»」』）)]  ")
+            repeated = self.repeats(key)
+            known = ((
+                float(min(n, 80)), float(min(len(END.findall(text)), 6)), float(stem[-1:] in ".!?。！？؟।…") if stem else 0.0,
+                3.0 if repeated else sum(found) / (len(found) + 1.0), len(_LINK.findall(text)) / (n + 1.0), float(len(found)) / (n + 1.0), 0.0,
+            ), key, repeated)
+            if len(line) < 120:
+                if len(self._known) > 100_000:
+                    self._known.clear()
+                self._known[line] = known
+        return (self._named(known[0]), known[1], True) if names_site(known[1], site) else known
 
     def _named(self, out: tuple) -> tuple:
         """Features of a line that names its own site: furniture, however often it stands in the table."""
         return (*out[:3], 3.0 if self.counted else out[3], *out[4:6], 1.0)
 
+    def blocks(self, lines: list[str], site: str = "") -> list[tuple[tuple[float, ...], str, bool]]:
+        return [self._block(x, site) for x in lines]
+
     def rows(self, lines: list[str], site: str = "") -> list[list[float]]:
-        """Features of each (non-blank) line among its neighbours; ``site`` is the squashed name of the page's site."""
-        blocks = [self._block(x, site) for x in lines]
+        """Features of each (non-blank) line among its neighbours; ``site`` is the name of the page's site."""
+        return self.beside([b[0] for b in self.blocks(lines, site)])
+
+    @staticmethod
+    def beside(blocks: list[tuple[float, ...]]) -> list[list[float]]:
+        """Features of blocks with those of their neighbours."""
         out, last = [], len(blocks) - 1
         for i, b in enumerate(blocks):
             before = blocks[i - 1] if i else _NONE
@@ -145,10 +153,9 @@ class PageModel:
         if not at:
             return [], [], False
         lines = [cut[i] for i in at]
-        story = [s > 0.5 for s in self.story_share(lines, site_of(domain))]
-        site = site_of(domain)
-        empty = self.residue.holds_no_story(lines, story, lambda x: self.repeats(line_key(x)) or bool(site) and site in _letters(x))
-        return at, story, empty
+        blocks = self.blocks(lines, site_of(domain))
+        story = [leaf(self.nodes, r) > 0.5 for r in self.beside([b[0] for b in blocks])]
+        return at, story, self.residue.holds_no_story(lines, story, [b[2] for b in blocks])
 
 
 #: Times that a line of the labelled table counts, and pages of the sample whose surely known lines join the labelled table.
@@ -156,40 +163,77 @@ _TABLE_WEIGHT, _SELF_LABELLED = 6, 400
 _THAI = re.compile("[\u0e00-\u0e7f]{20,}")
 
 
-def _numbers(text: str | None) -> list[int]:
-    """Hashes of the distinct line keys of a page, in order."""
-    return [key_number(k) for k in dict.fromkeys(line_key(x) for x in (text or "").split("\n") if x.strip())]
+def keys_and_cluster(text: str) -> tuple[list[int], list[int], int]:
+    """(hashes of the keys of the lines that have one, the lines' numbers, the cluster's stamp) of a page.
+
+    Copies of a story with other menus, teasers or dates are of one cluster: the
+    stamp is that of the distinct lines of several sentences if they hold half of
+    the page's letters, else that of all distinct lines.
+    """
+    keys, at, told = [], [], set()
+    letters = long = 0
+    for n, line in enumerate(text.split("\n")):
+        if key := line_key(line):
+            number = key_number(key)
+            keys.append(number)
+            at.append(n)
+            letters += len(key)
+            if len(key) > 50 and several_sentences(line):
+                told.add(number)
+                long += len(key)
+    return keys, at, key_number(" ".join(map(str, sorted(told if 2 * long >= letters else set(keys)))))
+
+
+def several_sentences(line: str) -> bool:
+    return len(END.findall(line)) >= 2 or _THAI.search(line) is not None
 
 
 def repeated_keys(sample: list[tuple[str | None, str | None]], least: int = LEAST_TEXTS) -> array:
     """``corpus_repeats`` of rows (domain, text) that are at hand."""
-    texts = {(domain, tuple(numbers)) for domain, text in sample if (numbers := _numbers(text))}
-    per_site = Counter((domain, k) for domain, numbers in texts for k in numbers)
+    pairs = set()
+    for domain, text in sample:
+        keys, _, cluster = keys_and_cluster(text or "")
+        pairs |= {(domain, k, cluster) for k in keys}
+    per_site = Counter((domain, k) for domain, k, _ in pairs)
     return array("q", sorted({k for (_, k), n in per_site.items() if n >= least}))
 
 
-def corpus_repeats(articles: DataFrame, least: int = LEAST_TEXTS) -> array:
-    """Sorted hashes of the line keys that at least ``least`` different texts of one site hold, counted over all articles.
+def keyed_pages(articles: DataFrame, sample_below: int = 0) -> DataFrame:
+    """(globaleventid, site, day, row_hash, cluster, keys, line_nos, domain, text) per row with a text, from one pass over whole texts.
 
-    A text published again says nothing new about its site: texts with the same
-    keys collapse first. Sums of parts are made before rows are shuffled by site
-    and line, so no task holds a hot line. What reaches the driver is 8 bytes for each repeated line.
+    ``site`` is the hash of the domain (null for none), ``row_hash`` that of the
+    text, ``day`` the publication date. ``domain`` and ``text`` are given only for rows whose hash lies below ``sample_below`` of 2^30.
     """
     def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            keys = [_numbers(x) for x in pdf["text"]]
-            yield pd.DataFrame({"site": pdf["site"], "stamp": [key_number(" ".join(map(str, k))) for k in keys], "keys": keys})
+            got = [keys_and_cluster(x) for x in pdf["text"]]
+            picked = pdf["picked"].to_numpy(bool)
+            pdf["keys"], pdf["line_nos"], pdf["cluster"] = [g[0] for g in got], [g[1] for g in got], [g[2] for g in got]
+            pdf["domain"], pdf["text"] = pdf["domain"].where(picked, None), pdf["text"].where(picked, None)
+            yield pdf.drop(columns="picked")
+
+    h = F.xxhash64("text")
+    rows = articles.where("text is not null").select(
+        F.col("globaleventid").cast("long").alias("globaleventid"), F.when(F.col("domain").isNotNull(), F.xxhash64("domain")).alias("site"), F.col("sqldate").cast("long").alias("day"),
+        h.alias("row_hash"), (F.pmod(F.xxhash64("globaleventid", h), F.lit(1 << 30)) < sample_below).alias("picked"), "domain", "text")
+    return rows.mapInPandas(go, "globaleventid long, site long, day long, row_hash long, cluster long, keys array<long>, line_nos array<int>, domain string, text string")
+
 
-    # The site's hash stands for its name (null for none), so that rows of two numbers are counted.
-    rows = articles.where("text is not null").select(F.when(F.col("domain").isNotNull(), F.xxhash64("domain")).alias("site"), "text")
-    texts = rows.mapInPandas(go, "site long, stamp long, keys array<long>").groupBy("site", "stamp").agg(F.first("keys").alias("keys"))
-    often = texts.select("site", F.explode("keys").alias("key")).groupBy("site", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+def corpus_repeats(keyed: DataFrame, least: int = LEAST_TEXTS) -> array:
+    """Sorted hashes of the line keys that at least ``least`` clusters of one site hold, counted over all ``keyed_pages``.
+
+    A story published again says nothing new about its site. Lines are counted
+    by site, line and cluster before they are shuffled by site and line, so no
+    task holds a hot line. What reaches the driver is 8 bytes for each repeated line.
+    """
+    lines = keyed.select("site", "cluster", F.explode(F.array_distinct("keys")).alias("key"))
+    often = lines.groupBy("site", "key").agg(F.count_distinct("cluster").alias("n")).where(F.col("n") >= least)
     return array("q", np.sort(often.select("key").distinct().toArrow()["key"].to_numpy()).tobytes())
 
 
-def _seeds(pages: list[tuple[str | None, list[str]]], model: PageModel) -> tuple[dict[str, str], dict[str, str], dict[str, str]]:
-    """Distinct lines (by key): surely furniture (repeated on a site), surely story (long, once), and all."""
-    where: dict[str, int] = Counter()
+def _seeds(pages: list[tuple[str | None, list[str]]], model: PageModel) -> tuple[dict[str, str], dict[str, str], dict[str, str], Counter]:
+    """Distinct lines (by key): surely furniture (repeated on a site), surely story (long, once), and all; and on how many sites each is."""
+    where: Counter[str] = Counter()
     first: dict[str, str] = {}
     copies: set[tuple] = set()
     for site, lines in pages:
@@ -203,13 +247,13 @@ def _seeds(pages: list[tuple[str | None, list[str]]], model: PageModel) -> tuple
     furniture = {k: x for k, x in first.items() if model.repeats(k)}
     for site, lines in pages:
         if name := site_of(site):
-            furniture |= {line_key(x): x for x in lines if len(x) < 300 and name in _SQUASH.sub("", x.lower())}
+            furniture |= {k: x for x in lines if names_site(k := line_key(x), name)}
     often = furniture.keys()
     story = {
         k: x for k, x in first.items()
-        if where[k] == 1 and k not in often and len(k) > 50 and (len(END.findall(x)) >= 2 or _THAI.search(x))
+        if where[k] == 1 and k not in often and len(k) > 50 and several_sentences(x)
     }
-    return furniture, story, first
+    return furniture, story, first, Counter(k for k, _ in {(line_key(x), site) for site, lines in pages for x in lines})
 
 
 def _weights(furniture: list[str], story: list[str], least: int = 2) -> dict[str, float]:
@@ -237,21 +281,21 @@ def fit(sample: list[tuple[str | None, str | None]], rounds: int = 1, repeated:
     blocks = [(label, line) for page in table for label, line in page]
     by = {c: [line for label, line in blocks if label == c] for c in "SFR"}
     model.repeated = known
-    furniture, story, every = _seeds(pages, model)
+    furniture, story, every, sites = _seeds(pages, model)
     model.repeated = array("q")
-    few = len(furniture) < 200 or len(story) < 200
-    trusted = list(by["R"])
+    trusted, odd_lines = list(by["R"]), set()
     for _, lines in pages:
         odd = [x for x in lines if len(x) < 400 and residue.TRUSTED.search(x) and len(END.findall(x)) < 5]
         if odd and not any(line_key(x) in story for x in lines if x not in odd):
             trusted += odd
+            odd_lines.update(odd)
     model.residue.fit(trusted, by["S"] + by["F"], list(every.values()), rounds=1)
     story = {k: x for k, x in story.items() if model.residue.score(x) < 0.5}
-    extra = (by["F"] + by["R"], by["S"]) if few else ([], [])
+    extra = by["F"] + by["R"], by["S"]
     plain, told = [*furniture.values(), *trusted], list(story.values())
     y = np.array([float(label == "S") for label, _ in blocks])
     for step in range(rounds + 1):
-        model.weights = _weights(plain + extra[0], told + extra[1], 1 if few else 2)
+        model.weights = _weights(plain + extra[0], told + extra[1])
         model.forget()
         x = [r for page in table for r in model.rows([line for _, line in page], "harlonpost")]
         # Names in tag lists and teasers may be well known from stories: such lines count once more with story words.
@@ -271,7 +315,8 @@ def fit(sample: list[tuple[str | None, str | None]], rounds: int = 1, repeated:
         plain, told, beside, open_lines = {}, {}, {}, {}
         for site, lines in pages:
             shares = model.story_share(lines, site_of(site))
-            holds = any(x > 0.5 and model.residue.score(line) < 0.5 for line, x in zip(lines, shares))
+            # A line that several sites have need not tell a story: messages of servers are such lines.
+            holds = not any(x in odd_lines for x in lines) and any(x > 0.5 and sites[line_key(line)] < SHARED_SITES and model.residue.score(line) < 0.5 for line, x in zip(lines, shares))
             for line, share in zip(lines, shares):
                 key = line_key(line)
                 (told if share > 0.5 else plain)[key] = line
@@ -285,22 +330,28 @@ def fit(sample: list[tuple[str | None, str | None]], rounds: int = 1, repeated:
         odd = {k for k, v in told.items() if model.residue.score(v) >= 0.5}
         plain = [v for k, v in plain.items() if k not in story] + [told[k] for k in odd] + list(furniture.values())
         told = [v for k, v in told.items() if k not in furniture and k not in odd]
+    shown = []
+    for site, lines in pages:
+        blocks = model.blocks(lines, site_of(site))
+        flags = [leaf(model.nodes, r) > 0.5 for r in model.beside([b[0] for b in blocks])]
+        known = 1.0 if any(x in odd_lines for x in lines) else 0.0 if any(b[1] in story for b in blocks) else None
+        shown.append((*model.residue.evidence(lines, flags, [b[2] for b in blocks]), known))
+    model.residue.fit_records(shown)
     return model
 
 
-def sampled(articles: DataFrame, rows: int = SAMPLE_ROWS) -> list[tuple[str | None, str]]:
-    """(domain, text) of about ``rows`` articles, all if there are no more, chosen by the hash of their id."""
+def keyed_and_sample(articles: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[DataFrame, list[tuple[str | None, str]]]:
+    """``keyed_pages`` written to the shared folder, and (domain, text) of about ``rows`` articles, all if there are no more, chosen by the hash of id and text in the same pass."""
     total = articles.count()
-    picked = articles.where("text is not null").select("domain", "text", F.pmod(F.xxhash64("globaleventid", "text"), F.lit(1 << 30)).alias("h"))
-    if total > rows:
-        picked = picked.where(F.col("h") < int((1 << 30) * rows / total))
-    got = picked.limit(2 * rows).collect()
-    return [(r[0], r[1]) for r in sorted(got, key=lambda r: (r[2], r[1]))]
+    keyed = cut(keyed_pages(articles, (1 << 30) * rows // total if total > rows else 1 << 30))
+    got = keyed.where("text is not null").select("domain", "text", F.xxhash64("globaleventid", "row_hash").alias("h")).limit(2 * rows).collect()
+    return keyed, [(r[0], r[1]) for r in sorted(got, key=lambda r: (r[2], r[1]))]
 
 
 def fit_on(articles: DataFrame) -> PageModel:
     """The page model of a table: line counts over all articles, the rest from the bounded sample."""
-    return fit(sampled(articles), repeated=corpus_repeats(articles))
+    keyed, sample = keyed_and_sample(articles)
+    return fit(sample, repeated=corpus_repeats(keyed))
 
 
 def read_pages(articles: DataFrame, model: PageModel) -> DataFrame:
@@ -345,4 +396,5 @@ def main_text(articles: DataFrame, model: PageModel | None = None) -> DataFrame:
                 out.append("" if none else "\n".join(mend(cut[i].strip()) for i, s in zip(at, story) if s))
             yield pd.DataFrame({"globaleventid": pdf["globaleventid"], "body": out})
 
-    return articles.where("globaleventid is not null and text is not null").select("globaleventid", "domain", "text").mapInPandas(go, "globaleventid long, body string").distinct()
+    bodies = articles.where("globaleventid is not null and text is not null").select("globaleventid", "domain", "text").mapInPandas(go, "globaleventid long, body string")
+    return bodies.withColumn("h", F.xxhash64("body")).dropDuplicates(["globaleventid", "h"]).drop("h")

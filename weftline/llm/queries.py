@@ -39,14 +39,14 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     from weftline.llm import siteblocks
 
-    return siteblocks.repeated_lines(table(spark, folder, "articles_raw"))
+    return siteblocks.repeated_lines(table(spark, folder, "articles_raw")).select("globaleventid", "line_no").distinct()
 
 
 def p3_cleaned(spark: SparkSession, folder: str) -> DataFrame:
     from weftline.llm import siteblocks
 
     articles = table(spark, folder, "articles_raw")
-    return siteblocks.without_lines(articles, siteblocks.repeated_lines(articles))
+    return siteblocks.without_lines(articles, siteblocks.boilerplate_lines(articles))
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:

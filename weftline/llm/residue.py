@@ -3,14 +3,17 @@
 Trusted positives are passages with unfilled slots, filler or server wording
 and the residue lines of the labelled table. All other passages are unlabelled:
 expectation maximization gives each a share of being residue and learns the
-words of both classes. A record is residue if passages of residue but no story are on it.
+words of both classes. Records are decided by their passages: where the page
+model sees story, the passage that is least like residue speaks for the record,
+else the one that is most like it, and to its log likelihood ratio come the log prior odds of the
+record's kind, learned by expectation maximization from records that surely hold residue or a story.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Callable
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -37,12 +40,14 @@ class ResidueModel:
     def __init__(self) -> None:
         self.weights: dict[str, float] = {}
         self.bias = -3.0
+        self.priors = [-3.0, 0.0, -3.0]
         self._known: dict[str, float] = {}
 
     def fit(self, residue: list[str], stories: list[str], free: list[str], leaning: set[str] | None = None, rounds: int = 8) -> None:
         """``residue``: trusted positive lines; ``stories``: sure negatives; ``free``: unlabelled lines, of which ``leaning`` (keys) start as likely positives."""
         leaning = leaning or set()
         known = {line_key(x): x for x in residue}
+        pages = Counter(map(line_key, residue))
         sure = {k: x for x in stories if (k := line_key(x)) not in known}
         rest = {k: x for x in free if (k := line_key(x)) not in known and k not in sure}
         docs = [words_of(x) for x in (*known.values(), *sure.values(), *rest.values())]
@@ -53,7 +58,11 @@ class ResidueModel:
         sizes = np.array([len(d) for d in docs])
         owner = np.repeat(np.arange(len(docs)), sizes)
         seen = np.bincount(flat, minlength=len(ids))
-        keep = (seen >= 2)[flat]
+        # A word of one line only counts if the line is on several of the pages.
+        often = np.zeros(len(docs), bool)
+        often[:len(known)] = [pages[k] >= 2 for k in known]
+        kept = (seen >= 2) | (np.bincount(flat, often[owner], len(ids)) > 0)
+        keep = kept[flat]
         flat, owner = flat[keep], owner[keep]
         found = np.bincount(owner, minlength=len(docs))
         weight = np.zeros(len(ids))
@@ -64,37 +73,51 @@ class ResidueModel:
             self.bias = math.log((n + 1.0) / (len(docs) - n + 1.0))
             logit = self.bias + np.bincount(owner, weight[flat], len(docs)) / (1 + 0.12 * found)
             share[fixed:] = (1 / (1 + np.exp(-np.clip(logit, -30, 30))))[fixed:]
-        self.weights = {w: float(weight[i]) for w, i in ids.items() if seen[i] >= 2}
+        self.weights = {w: float(weight[i]) for w, i in ids.items() if kept[i]}
         self._known.clear()
 
-    def _share(self, words: list[str]) -> float:
-        w = self.weights
-        found = [w[x] for x in words if x in w]
-        logit = self.bias + sum(found) / (1 + 0.12 * len(found))
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, logit))))
-
-    def score(self, line: str) -> float:
-        """How likely a passage is residue, 0 to 1."""
+    def logit(self, line: str) -> float:
+        """Log odds of a passage being residue."""
         known = self._known.get(line)
         if known is None:
-            known = self._share(words_of(line))
+            w = self.weights
+            found = [w[x] for x in words_of(line) if x in w]
+            known = max(-30.0, min(30.0, self.bias + sum(found) / (1 + 0.12 * len(found))))
             if len(line) < 120:
                 if len(self._known) > 100_000:
                     self._known.clear()
                 self._known[line] = known
         return known
 
-    def holds_no_story(self, lines: list[str], story: list[bool], furniture: Callable[[str], bool]) -> bool:
-        """Whether the page has no story passage but residue.
-
-        ``story`` is the page model's view of each line. A page without any story
-        passage needs less evidence: something on it that is no known furniture
-        of a site (``furniture`` tells of a line).
-        """
-        told = sorted((x for x, s in zip(lines, story) if s), key=len)
-        if any(self.score(x) < 0.5 for x in told):
-            return False
-        return any(self.score(x) >= 0.5 or (not told and (TRUSTED.search(x) is not None or len(line_key(x)) > 8 and not furniture(x))) for x in lines)
+    def score(self, line: str) -> float:
+        """How likely a passage is residue, 0 to 1."""
+        return 1 / (1 + math.exp(-self.logit(line)))
+
+    def evidence(self, lines: list[str], story: list[bool], furniture: list[bool]) -> tuple[int, float]:
+        """(kind, log likelihood ratio) of a record: kind 0 with story passages, 1 without but with passages that are no known furniture of a site, 2 with nothing else."""
+        if any(story):
+            return 0, min(self.logit(x) for x, s in zip(lines, story) if s) - self.bias
+        return (2 if all(furniture) else 1), max(map(self.logit, lines)) - self.bias
+
+    def fit_records(self, shown: list[tuple[int, float, float | None]], rounds: int = 8) -> None:
+        """Log prior odds of each kind of record from (kind, log likelihood ratio, 1 for sure residue or 0 for a sure story or None)."""
+        kinds = np.array([x[0] for x in shown], np.int64)
+        told = np.array([x[1] for x in shown])
+        known = np.array([math.nan if x[2] is None else x[2] for x in shown], float)
+        priors = np.array([-3.0, 0.0, -3.0])
+        for _ in range(rounds):
+            share = np.where(np.isnan(known), 1 / (1 + np.exp(-np.clip(priors[kinds] + told, -30, 30))), known)
+            hits, n = np.bincount(kinds, share, 3), np.bincount(kinds, minlength=3)
+            priors = np.log((hits + 0.5) / (n - hits + 0.5))
+        self.priors = [float(x) for x in priors]
+
+    def holds_no_story(self, lines: list[str], story: list[bool], furniture: list[bool]) -> bool:
+        """Whether the page holds residue only; ``story`` is the page model's view of each line, ``furniture`` tells which lines its site is known to repeat."""
+        if any(story):  # the first passage that speaks for a story decides, as the least one would
+            least = self.bias - self.priors[0]
+            return all(self.logit(x) > least for x in sorted((x for x, s in zip(lines, story) if s), key=len))
+        kind, told = self.evidence(lines, story, furniture)
+        return self.priors[kind] + told > 0
 
 
 def no_story_articles(articles: DataFrame, model=None) -> DataFrame:
