@@ -25,6 +25,20 @@ def test_names(spark):
     assert names.map_names(typed.limit(0), actors).count() == 0
 
 
+def test_blocks_change_no_answer(spark, folder):
+    from weftline.session import table
+
+    actors, articles = table(spark, folder, "actor"), table(spark, folder, "articles_raw")
+    typed = articles.select(F.explode(F.array("actor1name", "actor2name")).alias("n")).distinct()
+    one, six = ({r[0]: r[1] for r in names.map_names(typed, actors, block).collect()} for block in (100_000, 100))
+    assert one == six and len({v for v in one.values()}) > 50
+
+
+def test_many_ambiguous_words_end():
+    matcher = names.Matcher([(1, "Alta Balta Calta", None)])
+    assert matcher.match(["x"] * 1 + [f"y{i}" for i in range(60)], [[("alta", 1.0), ("balta", 1.0), ("calta", 1.0)]] * 61) == (99.0, set())
+
+
 @pytest.mark.parametrize("a,b,n", [("abc", "abc", 0), ("abc", "acb", 1), ("abc", "ab", 1), ("abcd", "xbyd", 2), ("abc", "xyz", 3)])
 def test_slips(a, b, n):
     assert names.slips(a, b, 2) == n
