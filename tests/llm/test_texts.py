@@ -80,18 +80,36 @@ def test_leaks(spark):
     assert leakage.leaked(df.limit(0), held).count() == 0 and leakage.leaked(df, held.limit(0)).count() == 0
 
 
-def test_leak_blocks_and_prefix_are_exact(spark, monkeypatch):
+def test_prefix_join_equals_brute_force(spark, monkeypatch):
     rng = random.Random(9)
-    items = [(i, item(rng)) for i in range(12)]
-    docs = [(i, f"{item(rng)} {t}") for i, t in items]
+    common = "according to the office of the governor"
+    items = [(i, f"{common} {item(rng)}") for i in range(12)]
+    docs = [(i, f"{item(rng)} {common} {t if i % 2 else ' '.join(t.split()[:30])}") for i, t in items] + [(50 + i, f"{common} {item(rng)}") for i in range(40)]
     df, held = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    monkeypatch.setattr(leakage, "BLOCK_ITEMS", 5)
-    assert {tuple(r) for r in leakage.leaked(df, held).collect()} == {(i, i) for i, _ in items}
-    index = leakage.ItemIndex(items)
-    index.number()
-    every = {d: set(index.held(*index.spots(t))) for d, t in docs}
-    index.order({})
-    assert {d: set(index.held(*index.spots(t))) for d, t in docs} == every == {d: {d} for d, _ in docs}
+    hasher, expected = leakage.Hasher(), set()
+    for i, text in items:
+        n, own = hasher.shingles(text)
+        at = {}
+        for k, g in enumerate(own.tolist()):
+            at.setdefault(g, []).append(k)
+        for d, t in docs:
+            expected |= {(d, i)} if leakage.holds(at, n, hasher.shingles(t)[1].tolist(), list(range(10_000))) else set()
+    assert {(i, i) for i, _ in items} <= expected
+    assert {tuple(r) for r in leakage.leaked(df, held).collect()} == expected
+    monkeypatch.setattr(leakage, "TABLE_BITS", 8)  # a full table lets all shingles through
+    assert {tuple(r) for r in leakage.leaked(df, held).collect()} == expected
+
+
+def test_short_and_spaceless_items(spark):
+    items = {
+        1: "Besk fell before noon", 2: "The bridge at Dorr was mined", 3: "兵士たちは夜明け前に橋を爆破した。市場は閉まったままだった。", 4: "政府军在黎明前封锁了通往维什塔的公路。没有组织宣称负责。",
+        5: "ทหารรัฐบาลปิดสะพานไปเวชตาก่อนรุ่งสาง ไม่มีใครอ้างความรับผิดชอบ", 6: "Soft\u00adhyphens hide in\u200b these Words, too",
+    }
+    docs = [(i, f"Something else stood here. 今日は雨だった。 {t} And more text follows it, 他是医生。", "clash") for i, t in items.items()]
+    docs += [(20, "今日は市場が開いた。兵士は帰った。橋は無事だ。", ""), (21, "政府军今天撤退。公路重新开放。", ""), (22, "softhyphens HIDE in these words too", ""), (23, "Besk fell", "")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, n_words string")
+    held = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    assert {tuple(r) for r in leakage.leaked(df, held).collect()} == {(i, i) for i in items} | {(22, 6)}
 
 
 def test_packing(spark):

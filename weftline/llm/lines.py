@@ -37,7 +37,7 @@ def _leads(letters: Iterable[str]) -> re.Pattern:
 
 
 _FAR_LEAD, _HIGH_LEAD, _DATE_LEAD = _leads(_FAR_DIGITS), _leads("\U00010000"), _leads("年月日号號時时分秒")
-_SPACELESS_LEAD = _leads(chr(c) for lo, hi in ((0xE00, 0xFFF), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x9FFF), (0xF900, 0xFAFF)) for c in range(lo, hi + 1))
+SPACELESS_LEAD = _leads(chr(c) for lo, hi in ((0xE00, 0xFFF), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x9FFF), (0xF900, 0xFAFF)) for c in range(lo, hi + 1))
 #: ASCII bytes with digits as zero characters; ASCII bytes in lower case; those that are neither letters nor digits (0 stands for what is filled in).
 _HOLED = bytes(0 if 48 <= b < 58 else b for b in range(256))
 _LOWER = bytes(range(256)).lower()
@@ -46,7 +46,7 @@ _NO_LETTER = re.compile(r"[^\w\x00]+")
 _HOLES = re.compile("\x00+")
 _CJK_DATE = re.compile(r"(?<=\d)\s*[年月日号號時时分秒]")
 _MIS_DECODED = re.compile("[ÃÂâÐÑØÙÛàá][\u0080-¿ŒœŠšŸŽžƒˆ˜–—‘’‚“”„†‡•…‰‹›€™]|Ð|[РС][ -џ‚ѓ„…†‡€‰‹‘’“”•–—™›]")
-_SPACELESS = re.compile("[฀-๿ༀ-࿿ក-៿぀-ヿ㐀-鿿豈-﫿]+")
+SPACELESS = re.compile("[฀-๿ༀ-࿿ក-៿぀-ヿ㐀-鿿豈-﫿]+")
 END = re.compile("[.!?。！？؟।…۔](?=[\"'”’»」』）)\\]]*(?:\\s|$)|[^\\x00-\\x7f])")
 _KEYS: dict[str, str] = {}
 
@@ -171,12 +171,12 @@ def units(text: str) -> list[str]:
     if raw.isascii():
         return raw.decode().split()
     words = _OTHER_MARKS.sub(" ", raw.decode()).lower().split()
-    if not _SPACELESS_LEAD.search(raw) or not _SPACELESS.search(text):
+    if not SPACELESS_LEAD.search(raw) or not SPACELESS.search(text):
         return words
     out: list[str] = []
     for w in words:
-        if _SPACELESS.search(w):
-            for run in _SPACELESS.findall(w):
+        if SPACELESS.search(w):
+            for run in SPACELESS.findall(w):
                 out += [run[i:i + 2] for i in range(len(run) - 1)] or [run]
         else:
             out.append(w)
