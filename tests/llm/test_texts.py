@@ -13,6 +13,8 @@ UNITS = [
     ["Ген. Вальдис прибыл в г. Вештар и привёл ок. 21 бойцов.", "«Они пришли ночью.", "Оружия не было», — сказал он."],
     ["El informe núm. 175 cita al Dr. Pelane.", "¡Basta!", "¿Por qué?"],
     ["“他们夜里来到。", "我们没有武器。”瓦尔迪说。", "停止炮击！"], ["「もう水がない。」と医師は語った。", "丘から撤退した。"],
+    ["他们已经撤退了", "但是没有人回来"], ["兵士は撤退しました", "しかし市場は閉まったままです"], ["“我喜欢这本书。”", "小说的作者离开了。"], ["“我们没有武器。”他喊道。", "市场关闭。"],
+    ["ទាហានបានដកថយ។", "ផ្សារបិទ។"], ["စစ်သားများ ဆုတ်ခွာသွားသည်။", "ဈေးပိတ်သည်။"], ["Զինվորները նահանջեցին։", "Շուկան փակ է։"],
     ["रिपोर्ट सं. 63 के अनुसार सीमा 30.3 कि.मी. लंबी है।", "डॉ. ओर्वेन ने कहा, \"पानी नहीं है।\"", "वे गए।"],
     ["يذكر التقرير أن طول الحدود 15.8 كم؛ ولم يذكر أوردوما.", "لماذا؟", "قال د. كرستو: «لم يعد لدينا ماء»."],
     ["ชาวบ้านเมืองเวชตาปล่อยตัวประกัน 33 คน", "นพ. เทชคูล กล่าวว่าไม่มีน้ำ", "รายงานเลขที่ 172 ระบุว่าชายแดนยาว 32.3 กม. ใกล้เมืองทัสมีรา"],
@@ -31,6 +33,17 @@ def test_units(units):
     assert got == units
 
 
+def test_learned_words():
+    rng = random.Random(2)
+    words = ["政府军", "医生", "桥梁", "市场"]
+    runs = ["".join(rng.choice([*words, *"甲乙丙丁戊己庚辛壬癸子丑寅卯"]) for _ in range(9)) for _ in range(400)]
+    found = sentences.learned_words(runs, 4)
+    assert set(words) <= found and not {"军医", "生桥", "场市"} & found
+    assert sentences.WordLattice(found).path("医生政府军甲市场") == ["医生", "政府军", "甲", "市场"]
+    splitter = sentences.learn(["ทหารปิดสะพาน 33 คน\n" * 6, "a " * 10])
+    assert splitter.ends("ทหารปิดสะพาน 33 คน") == [18]
+
+
 def test_unit_positions(spark):
     text = "1. One thing\n\n  - Two. Three!  \n \nEnd of text.Next one"
     ends = sentences.Splitter().ends(text)
