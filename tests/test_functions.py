@@ -30,8 +30,9 @@ def test_keys_of_names(spark):
 
 def test_mended_and_flags(spark):
     wrong = "très été déjà là".encode().decode("latin-1")
-    rows = [(wrong,), ("plain",), (None,), ("ØÙÐÑ " * 10,)]
-    assert values(spark, rows, "x string", t.mended(F.col("x")), t.looks_misdecoded(F.col("x"))) == [("très été déjà là", True), ("plain", False), (None, False), ("", True)]
+    rows = [(wrong,), ("plain",), (None,), ("ØÙÐÑ " * 10,), ("“quoted” – déjà vu, " + "été très là ".encode().decode("cp1252", "ignore") * 3,)]
+    got = values(spark, rows, "x string", t.mended(F.col("x")), t.looks_misdecoded(F.col("x")))
+    assert got[:4] == [("très été déjà là", True), ("plain", False), (None, False), ("", True)] and got[4][1]
     story = "The convoy left the town at dawn on Friday. Subscribe to our newsletter now, please do. Nobody was hurt in the raid at all."
     kept = values(spark, [(story,), ("Access denied for this page of the site.",), (None,), ("short",), ("Нападение произошло на рассвете у моста. Никто не пострадал в этот день.",)], "x string", t.content_sentences(F.col("x")))
     assert kept[0][0] == "The convoy left the town at dawn on Friday. Nobody was hurt in the raid at all." and kept[1][0] == "" and kept[2][0] is None and kept[3][0] == "short" and kept[4][0].startswith("Нападение")
@@ -47,6 +48,8 @@ def test_join_unique_and_chunks(spark):
     cut = t.chunks(whole, 12)
     assert all(len(c) <= 12 for c in cut) and "".join(cut).replace(" ", "") == whole.replace(" ", "")
     assert t.chunks(None, 5) == [] and t.chunks("", 5) == []
+    assert t.chunks("One. Two words that are long. Six.", 12) == ["One.", "Two words", "that are", "long.", "Six."]
+    assert t.chunks("a bb " + "x" * 7 + " c dd. E.", 5) == ["a bb", "xxxxx", "xx", "c dd.", "E."] and t.chunks("A. B. C. D.", 5) == ["A. B.", "C. D."]
 
 
 def test_urls(spark):

@@ -21,6 +21,11 @@ def wilson(hits: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     return mid - half, mid + half
 
 
+def ten_point_effect(beta: Column) -> Column:
+    """Change in per cent of an outcome in logs when a share grows by ten points."""
+    return 100 * F.expm1(0.1 * beta)
+
+
 def calibrated(raw: Column, tpr: float, fpr: float) -> Column:
     """A share corrected for a classifier's rates, held within 0 and 1."""
     if tpr <= fpr:

@@ -135,6 +135,37 @@ def first_success(attempts: DataFrame, key: str, rank: str, ok: Column) -> DataF
     return attempts.groupBy(key).agg(won.alias("success_rank"), F.coalesce(won, F.max(rank)).alias("n_attempts"))
 
 
+#: Which rows each match filter keeps, given its flags: a term of one list, a term of the other list, the actor's type code.
+MATCH_FILTERS = {
+    "any_rebel": lambda one, other, typed: one | other | typed,
+    "actor_terms_only": lambda one, other, typed: one | other,
+    "ucdp_only": lambda one, other, typed: one,
+    "rad_only": lambda one, other, typed: other,
+    "both_terms": lambda one, other, typed: one & other,
+    "gdelt_type_only": lambda one, other, typed: typed & ~(one | other),
+}
+
+
+def match_filter(mode: str, ucdp: Column, rad: Column, typed: Column) -> Column:
+    """Whether a row is kept by a match filter; null flags are false, an unknown mode raises."""
+    if mode not in MATCH_FILTERS:
+        raise ValueError(f"unknown match filter {mode}; one of {', '.join(MATCH_FILTERS)}")
+    return MATCH_FILTERS[mode](*[F.coalesce(c, F.lit(False)) for c in (ucdp, rad, typed)])
+
+
+def of_year(columns: Sequence[Column], year: int) -> Column:
+    """Whether any of the columns, as text, begins with the year."""
+    hit = F.lit(False)
+    for c in columns:
+        hit = hit | F.coalesce(F.trim(c.cast("string")).startswith(str(year)), F.lit(False))
+    return hit
+
+
+def stratified(df: DataFrame, strata: Sequence[str], key: str, seed: int, n: int) -> DataFrame:
+    """At most ``n`` rows of each stratum in the order of the MD5 of key and seed, with their place."""
+    return top_per_key(df, strata, [F.md5(F.concat(F.col(key).cast("string"), F.lit("|"), F.lit(str(seed)))).asc(), F.col(key).asc()], n, "place")
+
+
 def hash_sample(df: DataFrame, key: str, seed: int, n: int) -> DataFrame:
     """``n`` rows in the order of the MD5 of key and seed: the same sample wherever it is drawn."""
     return df.orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit("|"), F.lit(str(seed)))), F.col(key)).limit(n)

@@ -36,8 +36,11 @@ def exact_classes(docs: DataFrame, key: str = "doc_id", column: str = "text", le
 
 def representatives(docs: DataFrame, key: str = "doc_id", column: str = "text", least_words: int = LEAST_WORDS, k: int = SHINGLE) -> DataFrame:
     """(id, n_words, shingles): one row per different text with at least ``least_words`` words; the id is the least of its copies."""
-    words = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), t.hash_form(F.col(column)).alias("form")).where("form <> ''")
-    firsts = words.groupBy(F.xxhash64("form").alias("h"), F.sha1("form").alias("s")).agg(F.min("id").alias("id"), F.first("form").alias("form")).select("id", F.split("form", " ").alias("w"))
+    words = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), t.hash_form(F.col(column)).alias("form")).where(
+        (F.col("form") != "") & (F.length("form") - F.length(F.replace("form", F.lit(" "), F.lit(""))) + 1 >= least_words))
+    # Ids alone are grouped; the texts of the least ones are fetched by a semi-join, so copies of a text never meet.
+    least = words.select("id", F.sha1("form").alias("s")).groupBy("s").agg(F.min("id").alias("id")).select("id")
+    firsts = words.join(least.hint("shuffle_hash"), "id", "left_semi").select("id", F.split("form", " ").alias("w")).dropDuplicates(["id"])
     return firsts.where(F.size("w") >= least_words).select("id", F.size("w").alias("n_words"), t.shingles(F.col("w"), k).alias("shingles")).where(F.size("shingles") > 0)
 
 

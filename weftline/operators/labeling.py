@@ -24,6 +24,17 @@ def queue(rows: DataFrame, done: DataFrame, keys: Sequence[str], ok: Column | No
     return rows.join((done if ok is None else done.where(ok)).select(*keys).distinct(), list(keys), "left_anti")
 
 
+def next_items(items: DataFrame, labels: DataFrame, key: str, who: str, annotator: str, share: float = 0.1, last: Column | None = None) -> DataFrame:
+    """(key, by_others) of the items that an annotator may get next: none labelled by them, and none that others labelled
+    once such items have reached ``share`` of their labels. ``last`` marks the item at hand, which does not come again."""
+    marks = labels.where(F.col(key).isNotNull()).groupBy(key).agg(F.max((F.col(who) == annotator).cast("int")).alias("_own"), F.max((F.col(who) != annotator).cast("int")).alias("_others"))
+    spent = marks.agg(F.sum("_own").alias("n"), F.sum(F.col("_own") * F.col("_others")).alias("both")).first()
+    allowed = (spent["both"] or 0) < int(((spent["n"] or 0) + 1) * share)
+    left = items.select(key).where(F.col(key).isNotNull() if last is None else F.col(key).isNotNull() & ~last).distinct().join(marks, key, "left").where(F.coalesce("_own", F.lit(0)) == 0)
+    told = left.select(key, (F.coalesce("_others", F.lit(0)) == 1).alias("by_others"))
+    return told if allowed else told.where("not by_others")
+
+
 def translation_queue(rows: DataFrame, language: str, text: str) -> DataFrame:
     """Rows in a known language other than English with a text; nothing else is ever sent out."""
     lang = t.label_form(F.col(language))

@@ -29,6 +29,21 @@ def confusion(pairs: DataFrame, keys: Sequence[str], positive: str) -> DataFrame
                     F.when(F.abs(1 - expected) > 1e-12, (agree - expected) / (1 - expected)).alias("kappa"), maths.share(F.col("fp"), F.col("fp") + F.col("tn")).alias("fpr"))
 
 
+def collapsed(label: Column, kept: Sequence[str], merged: dict[str, str] | None = None, rest: str = "other") -> Column:
+    """A label's class: those of ``kept`` stay or, if ``merged`` names them, become its class; all others are the rest."""
+    form = text.label_form(label)
+    out = F.when(~form.isin(*kept), rest)
+    for value, name in (merged or {}).items():
+        out = out.when(form == value, name)
+    return out.otherwise(form)
+
+
+def fdr_in_and_across(tests: DataFrame, family: Sequence[str], p: str, tie: Sequence[str]) -> DataFrame:
+    """Adjusted p within each family (p_fdr_within) and over all tests (p_fdr_across)."""
+    within = bh_adjusted(tests, family, p, tie).withColumnRenamed("p_fdr", "p_fdr_within")
+    return bh_adjusted(within, [], p, [*family, *tie]).withColumnRenamed("p_fdr", "p_fdr_across")
+
+
 def kappa(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, n, agreement, kappa) over all classes of a and b; kappa is null where chance agreement is complete."""
     cells = pairs.groupBy(*keys, "a", "b").agg(F.count(F.lit(1)).alias("n"))

@@ -72,39 +72,54 @@ def exact_duplicates(spark, folder):
     return dedup.exact_classes(table(spark, folder, "documents"))
 
 
-_PAIRS = f"""forms as (select doc_id, {_FORM} as form from documents), reps as (select min(doc_id) as id, string_split(form, ' ') as w from forms where form <> '' group by form having len(string_split(form, ' ')) >= 80),
+def _pairs(source: str) -> str:
+    return f"""forms as (select doc_id, {_FORM} as form from {source}), reps as (select min(doc_id) as id, string_split(form, ' ') as w from forms where form <> '' group by form having len(string_split(form, ' ')) >= 80),
 sh as (select distinct id, len(w) as nw, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) as g from reps), size as (select id, any_value(nw) as nw, count(*) as n from sh group by 1),
 common as (select a.id as id_1, b.id as id_2, count(*) as c from sh a join sh b on a.g = b.g and a.id < b.id group by 1, 2),
 pairs as (select id_1, id_2, round(c / (x.n + y.n - c), 4) as similarity from common join size x on x.id = id_1 join size y on y.id = id_2 where c / (x.n + y.n - c) >= 0.85 and greatest(x.nw, y.nw) <= 1.6 * least(x.nw, y.nw))"""
 
 
-@query(f"with {_PAIRS} select id_1, id_2, similarity from pairs")
-def near_duplicate_pairs(spark, folder):
-    return dedup.near_pairs(dedup.representatives(table(spark, folder, "documents")))
-
-
-_CLASSES = f"""with recursive {_PAIRS}, own as (select doc_id, coalesce(first_id, doc_id) as rep from forms left join (select form as f, min(doc_id) as first_id from forms where form <> '' group by 1) on f = form),
+def _classes(source: str) -> str:
+    return f"""{_pairs(source)}, own as (select doc_id, coalesce(first_id, doc_id) as rep from forms left join (select form as f, min(doc_id) as first_id from forms where form <> '' group by 1) on f = form),
 edges as (select id_1 as a, id_2 as b from pairs union select id_2, id_1 from pairs), reach as (select a, b from edges union select r.a, e.b from reach r join edges e on e.a = r.b),
 roots as (select a, least(a, min(b)) as root from reach group by a), degree as (select a, count(*) as k from edges group by a),
 classes as (select doc_id, coalesce(root, rep) as class_id, coalesce(k, 0) as n_links from own left join roots on roots.a = rep left join degree on degree.a = rep)"""
 
 
-@query(f"{_CLASSES} select doc_id, class_id, n_links from classes")
+# Documents and, under other ids, a later version of each: without its first words, with a line added, so that near copies are there to be found.
+_LATER = 1_000_000_000_000
+_VERSIONS = f"""versions as (select doc_id, text, source, published_at from documents
+union all select doc_id + {_LATER}, concat(regexp_replace(text, '^([^ ]+ ){{4}}', ''), ' Corrected version of this report'), source, published_at from documents)"""
+
+
+def _versions(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "source", "published_at")
+    later = F.concat(F.regexp_replace("text", "^([^ ]+ ){4}", ""), F.lit(" Corrected version of this report"))
+    return docs.unionByName(docs.select((F.col("doc_id") + _LATER).alias("doc_id"), later.alias("text"), "source", "published_at"))
+
+
+@query(f"with {_VERSIONS}, {_pairs('versions')} select id_1, id_2, similarity from pairs")
+def near_duplicate_pairs(spark, folder):
+    """Near copies among all documents and a later version of each."""
+    return dedup.near_pairs(dedup.representatives(_versions(spark, folder)))
+
+
+@query(f"with recursive {_classes('documents')} select doc_id, class_id, n_links from classes")
 def near_duplicate_classes(spark, folder):
     return dedup.near_classes(table(spark, folder, "documents"))
 
 
-@query(f"""{_CLASSES}, scored as (select c.doc_id, c.class_id, length(coalesce(text, '')) as len, {_HITS} as hits from classes c join documents d on d.doc_id = c.doc_id)
+@query(f"""with recursive {_VERSIONS}, {_classes('versions')}, scored as (select c.doc_id, c.class_id, length(coalesce(text, '')) as len, {_HITS} as hits from classes c join versions d on d.doc_id = c.doc_id)
 select doc_id, class_id, count(*) over (partition by class_id) as class_size, row_number() over (partition by class_id order by len desc, hits, doc_id) = 1 as is_canonical from scored""")
 def canonical_articles(spark, folder):
-    docs = table(spark, folder, "documents")
+    docs = _versions(spark, folder)
     return dedup.canonical(docs, dedup.near_classes(docs))
 
 
-@query(f"""with {_PAIRS} select p.*, a.source as source_1, a.published_at as published_1, b.source as source_2, b.published_at as published_2 from pairs p join documents a on a.doc_id = id_1 join documents b on b.doc_id = id_2""")
+@query(f"""with {_VERSIONS}, {_pairs('versions')} select p.*, a.source as source_1, a.published_at as published_1, b.source as source_2, b.published_at as published_2 from pairs p join versions a on a.doc_id = id_1 join versions b on b.doc_id = id_2""")
 def duplicate_pair_export(spark, folder):
-    docs = table(spark, folder, "documents").select("doc_id", "source", "published_at")
-    pairs = dedup.near_pairs(dedup.representatives(table(spark, folder, "documents")))
+    docs = _versions(spark, folder)
+    pairs = dedup.near_pairs(dedup.representatives(docs))
     side = lambda n: docs.select(F.col("doc_id").alias(f"id_{n}"), F.col("source").alias(f"source_{n}"), F.col("published_at").alias(f"published_{n}"))
     return pairs.join(side(1), "id_1").join(side(2), "id_2")
 
@@ -144,7 +159,7 @@ def chunk_text(spark, folder):
     return d.select("doc_id", "chunk_no", "chunk")
 
 
-@query(f"""with {_ONCE} select globaleventid, concat('Actors: ', array_to_string(list_sort(list_distinct(list_filter([trim(actor1name), trim(actor2name)], lambda n: n is not null and n <> ''))), '; '), chr(10), 'Date: ', coalesce(cast(sqldate as varchar), 'unknown'), chr(10), 'Text: ', substr(coalesce(text, ''), 1, 8000)) as prompt from once""")
+@query(f"""with {_ONCE} select globaleventid, concat('Actors: ', array_to_string(list_sort(list_distinct(list_filter([trim(actor1name), trim(actor2name)], lambda n: n is not null and n <> ''))), '; '), chr(10), 'Date: ', coalesce(cast(sqldate as varchar), 'unknown'), chr(10), 'Text: ', coalesce(text, '')) as prompt from once""")
 def render_prompt(spark, folder):
     names = t.join_unique(F.array("actor1name", "actor2name"))
     return a.once_per_article(table(spark, folder, "articles_raw")).select("globaleventid", F.concat(
