@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.plans import acquire, actors, extras, models, panels, series, streams, texts
+from weftline.plans import acquire, actors, extras, models, panels, series, streams, study, texts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,11 +26,12 @@ DOUBLES = {
     "acf_by_actor": "acf", "regime_summary": "positive_share clear_share unresolved_share", "category_divergence": "js_distance max_change_pp",
     "sample_summary": "median_fatalities least most sd q025 q975 zero_share", "centered_mean": "smooth", "ols_hac_univariate": "beta se", "rolling_forecast": "sse", "lead_lag_profile": "beta",
     "near_duplicate_pairs": "similarity", "duplicate_pair_export": "similarity", "theta_posterior_mean": "theta", "ar1_by_actor": "ar1", "signal_correlation": "r", "joint_state_confusion": "row_share", "label_comparison": "share", "p5_readings": "total", "incremental_blocks": "total",
+    "window_threshold_sweep": "raw_beta calibrated_beta partial_r2 bca_beta bcm_beta ten_point_effect", "fdr_families": "p p_fdr_within p_fdr_across", "calibrated_multiclass": "yes_calibrated no_calibrated unclear_calibrated",
 }
 # Columns that SQL counts as long.
 LONGS = {
     "country_week_panel": "iso_week", "topk_mentions_per_event": "candidate_rank", "url_candidates_ranked": "candidate_rank", "domain_diverse_rank": "diverse_rank", "scrape_summary": "n_attempts",
-    "text_clean_features": "text_len word_count sentence_count n_tokens", "actor_terms": "term_len", "rolling_forecast": "month",
+    "text_clean_features": "text_len word_count sentence_count n_tokens", "actor_terms": "term_len", "rolling_forecast": "month", "language_detect": "n_chars",
 }
 
 
@@ -50,7 +51,7 @@ def settled_sql(sql: str, doubles: tuple[str, ...], longs: tuple[str, ...]) -> s
 
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
-for _part in (acquire, texts, actors, panels, models, series, extras, streams):
+for _part in (acquire, texts, actors, panels, models, series, extras, streams, study):
     QUERIES |= _part.QUERIES
     ORACLE_SQL |= _part.ORACLE_SQL
 for _name in ORACLE_SQL:

@@ -11,6 +11,7 @@ from weftline.operators import entities as e
 from weftline.operators import labeling, regress
 from weftline.operators import measures as m
 from weftline.plans.panels import _LAB, _PANEL, _panel
+from weftline.plans.texts import _FORM
 from weftline.session import table
 
 QUERIES: dict = {}
@@ -73,9 +74,14 @@ def work_slice(spark, folder):
     return e.slice_by_order(once, [F.col("globaleventid")], 50, 100)
 
 
-@query()
+_WORD_LISTS = ", ".join(f"('{k}', ['" + "', '".join(w.split()) + "'])" for k, w in FUNCTION_WORDS.items())
+
+
+@query(f"""with d as (select doc_id, length(coalesce(text, '')) as n_chars, list_distinct(string_split({_FORM}, ' ')) as words from documents), h as (select doc_id, n_chars, lang, len(list_intersect(words, own)) as n from d, (values {_WORD_LISTS}) v(lang, own)),
+b as (select doc_id, n_chars, max(n) as top from h group by 1, 2), w as (select b.doc_id, b.n_chars, b.top, count(*) as ties, min(lang) as lang from b join h on h.doc_id = b.doc_id and h.n = b.top group by 1, 2, 3)
+select doc_id, n_chars, case when n_chars < 40 or top = 0 or ties > 1 then 'unknown' else lang end as language from w""")
 def language_detect(spark, folder):
-    return table(spark, folder, "documents").select("doc_id", labeling.function_word_language(F.col("text"), FUNCTION_WORDS).alias("language"))
+    return table(spark, folder, "documents").select("doc_id", F.length(F.coalesce("text", F.lit(""))).alias("n_chars"), labeling.function_word_language(F.col("text"), FUNCTION_WORDS).alias("language"))
 
 
 @query(f"""select 'fatal' as field, count(*) as n, count(*) filter (a = b) as n_match, count(*) filter (a = b) / count(*) as share from (select {_LAB.format('any_fatalities_mentioned_coder_1')} as a, {_LAB.format('any_fatalities_mentioned_coder_2')} as b from inter_annotator)

@@ -68,7 +68,8 @@ def bca_bcm(spark, folder):
     sample = r.complete(_sample(spark, folder), XS, ("n_events", 1))
     f = r.fit(sample, "y_lead1", XS, "actor_id", "month", 6)
     mean, square = sample.agg(F.avg("deadly"), F.avg(F.col("deadly") ** 2)).first()
-    c = r.corrected(f, "deadly", r.index_omega(mean, square, 0.9, 0.15), r.count_kappa(sample, "n_events"))
+    tp, fn, fp, tn = _paired_cells(spark, folder)
+    c = r.corrected(f, "deadly", r.index_omega(mean, square, tp / (tp + fn), fp / (fp + tn)), r.count_kappa(sample, "n_events"))
     return spark.createDataFrame([(k, v) for k, v in c.items()], "estimator string, value double")
 
 
@@ -136,7 +137,8 @@ def _counts(spark, folder) -> latent.Counts:
     per = a.groupBy("actiongeo_countrycode").agg(F.count(F.lit(1)).alias("c"), F.count_if(F.lower("text").contains("attack")).alias("n"), F.avg("avgtone").alias("y"), F.avg("goldsteinscale").alias("g"))
     d = per.where("y is not null and g is not null").orderBy("actiongeo_countrycode").toPandas()
     q = np.column_stack([(d.g - d.g.mean()) / max(d.g.std(), 1e-9), np.ones(len(d))])
-    return latent.Counts(d.c.to_numpy(float), d.n.to_numpy(float), d.y.to_numpy(float), q, 82, 73, 77, 18)
+    tp, fn, fp, tn = _paired_cells(spark, folder)
+    return latent.Counts(d.c.to_numpy(float), d.n.to_numpy(float), d.y.to_numpy(float), q, tp + fn, tp, fp + tn, fp)
 
 
 @query()
@@ -179,9 +181,29 @@ def validation_bootstrap(spark, folder):
     return spark.createDataFrame(r.combined_errors(draws), "estimator string, n long, median double, validation_se double, hac_se double, combined_se double, combined_p double, low double, high double, unstable double")
 
 
-@query()
+_ANSWERS = ("yes", "no", "unclear")
+_A, _B = _LAB.format("any_fatalities_mentioned_coder_1"), _LAB.format("any_fatalities_mentioned_coder_2")
+_CELLS = ", ".join(f"count(*) filter (b = '{x}' and a = '{y}') / count(*) filter (b = '{x}' and a in ('yes', 'no', 'unclear')) as m{i}{j}" for i, x in enumerate(_ANSWERS) for j, y in enumerate(_ANSWERS))
+
+
+def _minor(i: int, j: int) -> str:
+    """Signed minor of the 3 x 3 matrix m without row i and column j, by cyclic indices."""
+    r1, r2, c1, c2 = (i + 1) % 3, (i + 2) % 3, (j + 1) % 3, (j + 2) % 3
+    return f"(m{r1}{c1} * m{r2}{c2} - m{r1}{c2} * m{r2}{c1})"
+
+
+_DET = " + ".join(f"m0{j} * {_minor(0, j)}" for j in range(3))
+_FIXED = ", ".join(f"greatest({' + '.join(f's{i} * {_minor(j, i)} / ({_DET})' for i in range(3))}, 0) as f{j}" for j in range(3))
+
+
+@query(f"""with pairs as (select distinct * from inter_annotator), m as (select {_CELLS} from (select {_A} as a, {_B} as b from pairs) x),
+c as (select coding_round, {', '.join(f"avg(case when {_A} = '{x}' then 1.0 else 0.0 end) as s{i}" for i, x in enumerate(_ANSWERS))} from inter_annotator group by 1), f as (select coding_round, {_FIXED} from c, m)
+select coding_round, {', '.join(f'f{i} / nullif(f0 + f1 + f2, 0) as {x}_calibrated' for i, x in enumerate(_ANSWERS))} from f""")
 def calibrated_multiclass(spark, folder):
-    inverse = latent.confusion_inverse(np.array([[50.0, 6, 4], [5, 40, 5], [3, 7, 30]]))
+    """Shares of the three answers per round, calibrated by the confusion matrix of the two coders (the second one stands for the truth)."""
+    forms = [t.label_form(F.col(f"any_fatalities_mentioned_coder_{n}")).alias(c) for n, c in ((1, "a"), (2, "b"))]
+    cells = {(x["b"], x["a"]): x["count"] for x in table(spark, folder, "inter_annotator").distinct().select(*forms).groupBy("b", "a").count().collect()}
+    inverse = latent.confusion_inverse(np.array([[float(cells.get((x, y), 0)) for y in _ANSWERS] for x in _ANSWERS]))
     lab = t.label_form(F.col("any_fatalities_mentioned_coder_1"))
     c = table(spark, folder, "inter_annotator").groupBy("coding_round").agg(*[F.avg((lab == v).cast("double")).alias(v) for v in ("yes", "no", "unclear")])
     fixed = latent.calibrated_classes([F.col("yes"), F.col("no"), F.col("unclear")], inverse)
