@@ -79,6 +79,18 @@ def test_consensus_finds_turned_coders(spark, monkeypatch):
     assert rate["good1"] > 0.8 > 0.5 > rate["turned"] and rate["yes"] < 0.6
 
 
+def test_votes_of_two_rounds_are_left_out_together(spark):
+    # The same coder twice on every article, against one other: their own second vote must not speak for them.
+    rows = [(i, r, "twice", "other", "yes", "no", None, None, None) for i in range(30) for r in (1, 2)]
+    rows += [(i, 3, "other", "third", "no", "no", None, None, None) for i in range(30)]
+    ballots, model = consensus.fit(spark.createDataFrame(rows, COLUMNS))
+    rate = {r.coder_id: (r.n_votes, r.accuracy) for r in consensus.coder_reliability(model).collect()}
+    assert rate["twice"][0] == 60 and rate["other"][0] == 90 and rate["third"][1] > rate["twice"][1]
+    assert {r.answer for r in consensus.consensus(ballots, model).collect()} == {"no"} and consensus.consensus(ballots, model).first().n_votes == 6
+    with pytest.raises(RuntimeError):
+        consensus.fit(spark.createDataFrame(rows, COLUMNS), most_rounds=1, tolerance=0.0)
+
+
 def test_consensus_of_nothing_and_agreement(spark):
     empty = spark.createDataFrame([], COLUMNS)
     assert consensus.consensus(*consensus.fit(empty)).count() == 0 and consensus.field_agreement(consensus.votes(empty)).count() == 0

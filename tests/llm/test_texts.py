@@ -125,7 +125,7 @@ def test_short_and_spaceless_items(spark):
     assert {tuple(r) for r in leakage.leaked(df, held).collect()} == {(i, i) for i in items} | {(22, 6)}
 
 
-def test_packing(spark):
+def test_packing(spark, monkeypatch):
     rng = random.Random(3)
     sizes = [rng.choice([0, 5, 5, 5, 40, 63, 64, 99, 100, 101, 250, rng.randint(0, 120)]) for _ in range(500)]
     docs = [(i, "é" * (s // 2) + "x" * (s % 2), "clash") for i, s in enumerate(sizes)] + [(1000, None, ""), (None, "x", "")]
@@ -149,6 +149,10 @@ def test_packing(spark):
     assert len(fill) <= len(spaces)
     assert packing.fill_report(packing.packed(df, 100), 100).first().n_containers == len(fill)
     assert packing.packed(df.limit(0), 100).count() == 0
+    monkeypatch.setattr(packing, "BROADCAST_SLOTS", 0)
+    monkeypatch.setattr(packing, "LEAST_PARTS", 3)
+    other = packing.packed(df, 100).collect()
+    assert len({r.container_id for r in other}) == len(fill) and sum(r.n_tokens for r in other) == sum(fill.values())
 
 
 def test_plan_places_every_item_once():

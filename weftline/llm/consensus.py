@@ -53,6 +53,12 @@ def _add(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: x + y)
 
 
+def _total(votes: Column) -> Column:
+    """Sum of the logs of votes, each as often as it was given."""
+    zero = F.array(*[F.lit(0.0)] * len(ANSWERS))
+    return F.aggregate(votes, zero, lambda s, v: _add(s, F.transform(v["logs"], lambda x: x * v["n"])))
+
+
 def _shares(df: DataFrame, logs: list[Column]) -> DataFrame:
     """``df`` with p0.. , the softmax of the logs, in plain columns that code generation covers."""
     n = range(len(logs))
@@ -68,24 +74,23 @@ def _scored(ballots: DataFrame, model: DataFrame, as_map: bool) -> DataFrame:
     With few coders their tables travel as one map per field, and no vote is
     shuffled; else votes join their coder's table. The results are the same.
     """
-    zero = F.array(*[F.lit(0.0)] * len(ANSWERS))
     logs = lambda table, answer: F.transform(table, lambda row: F.log(F.element_at(row, answer)))
     if as_map:
         maps = model.groupBy("field_name").agg(F.map_from_entries(F.collect_list(F.struct("coder", "table"))).alias("tables"), F.first("prior").alias("prior"))
         told = ballots.join(F.broadcast(maps), "field_name").withColumn(
-            "vs", F.transform("votes", lambda v: F.struct(v["coder"].alias("coder"), v["answer"].alias("answer"), logs(F.element_at("tables", v["coder"]), v["answer"]).alias("logs")))).drop("tables", "votes")
+            "vs", F.transform("votes", lambda v: F.struct(v["coder"].alias("coder"), v["answer"].alias("answer"), v["n"].alias("n"), logs(F.element_at("tables", v["coder"]), v["answer"]).alias("logs")))).drop("tables", "votes")
     else:
-        flat = ballots.select("globaleventid", "field_name", F.explode("votes").alias("v")).select("globaleventid", "field_name", "v.coder", "v.answer")
+        flat = ballots.select("globaleventid", "field_name", F.explode("votes").alias("v")).select("globaleventid", "field_name", "v.coder", "v.answer", "v.n")
         told = flat.join(model, ["field_name", "coder"]).withColumn("logs", logs(F.col("table"), F.col("answer"))).groupBy("globaleventid", "field_name").agg(
-            F.collect_list(F.struct("coder", "answer", "logs")).alias("vs"), F.first("prior").alias("prior"))
-    return told.withColumn("total", F.aggregate("vs", zero, lambda s, v: _add(s, v["logs"])))
+            F.collect_list(F.struct("coder", "answer", "n", "logs")).alias("vs"), F.first("prior").alias("prior"))
+    return told.withColumn("total", _total(F.col("vs")))
 
 
 def _model(soft: DataFrame, smoothing: float) -> DataFrame:
     """Per field and coder: table[k][a], the smoothed share of answer a where the other coders say k; prior logs per field."""
     n = len(ANSWERS)
-    cells = [F.sum(F.when(F.col("answer") == a + 1, F.col(f"p{k}")).otherwise(0.0)).alias(f"c{k}{a}") for k in range(n) for a in range(n)]
-    sums = soft.groupBy("field_name", "coder").agg(*cells, F.count(F.lit(1)).alias("n_votes"))
+    cells = [F.sum(F.when(F.col("answer") == a + 1, F.col(f"p{k}") * F.col("n")).otherwise(0.0)).alias(f"c{k}{a}") for k in range(n) for a in range(n)]
+    sums = soft.groupBy("field_name", "coder").agg(*cells, F.sum("n").alias("n_votes"))
     row = lambda k: F.array(*[
         (F.col(f"c{k}{a}") + smoothing * (2.0 if a == k else 1.0)) / (sum((F.col(f"c{k}{b}") for b in range(n)), F.lit(0.0)) + smoothing * (n + 1.0))
         for a in range(n)
@@ -97,18 +102,25 @@ def _model(soft: DataFrame, smoothing: float) -> DataFrame:
     return tables.join(totals.select("field_name", prior), "field_name").select("field_name", "coder", "n_votes", "table", "prior")
 
 
-def fit(rounds: DataFrame, fields: tuple[str, ...] = FIELDS, most_rounds: int = 12, tolerance: float = 2e-3, smoothing: float = 0.5) -> tuple[DataFrame, DataFrame]:
-    """(ballots, model): (globaleventid, field_name, votes) and each coder's table, after alternating consensus and coder accuracy until no table cell moves more than ``tolerance``."""
-    ballots = cut(votes(rounds, fields).groupBy("globaleventid", "field_name").agg(F.array_sort(F.collect_list(F.struct("coder", "answer"))).alias("votes")))
+def fit(rounds: DataFrame, fields: tuple[str, ...] = FIELDS, most_rounds: int = 100, tolerance: float = 2e-3, smoothing: float = 0.5) -> tuple[DataFrame, DataFrame]:
+    """(ballots, model): (globaleventid, field_name, votes) and each coder's table, after alternating consensus and coder accuracy until no table cell moves more than ``tolerance``.
+
+    Equal votes of a coder on an article count together, so an article's votes are at most its coders times the answers.
+    A coder's accuracy is measured against the votes of the others, without any of their own on the article, in whatever round.
+    Raises if ``most_rounds`` do not suffice.
+    """
+    counted = votes(rounds, fields).groupBy("globaleventid", "field_name", "coder", "answer").agg(F.count(F.lit(1)).alias("n"))
+    ballots = cut(counted.groupBy("globaleventid", "field_name").agg(F.array_sort(F.collect_list(F.struct("coder", "answer", "n"))).alias("votes")))
     start = F.array(*[F.array(*[F.lit(0.6 if a == k else 0.2) for a in range(len(ANSWERS))]) for k in range(len(ANSWERS))])
-    model = cut(ballots.select("field_name", F.explode("votes").alias("v")).select("field_name", "v.coder").groupBy("field_name", "coder").agg(F.count(F.lit(1)).alias("n_votes")).select(
+    model = cut(ballots.select("field_name", F.explode("votes").alias("v")).select("field_name", "v.coder", "v.n").groupBy("field_name", "coder").agg(F.sum("n").alias("n_votes")).select(
         "field_name", "coder", "n_votes", start.alias("table"), F.array(*[F.lit(0.0)] * len(ANSWERS)).alias("prior")))
     as_map = model.limit(MAP_ROWS + 1).count() <= MAP_ROWS
     kept: list = []
     for _ in range(most_rounds):
-        each = _scored(ballots, model, as_map).select("field_name", "prior", "total", F.explode("vs").alias("v"))
-        others = [F.col("prior")[k] + F.col("total")[k] - F.col("v.logs")[k] for k in range(len(ANSWERS))]
-        soft = _shares(each, others).select("field_name", "v.coder", "v.answer", *[f"p{k}" for k in range(len(ANSWERS))])
+        own = F.transform("vs", lambda v: F.struct(v["coder"].alias("coder"), v["answer"].alias("answer"), v["n"].alias("n"), _total(F.filter("vs", lambda u: u["coder"] == v["coder"])).alias("own")))
+        each = _scored(ballots, model, as_map).select("field_name", "prior", "total", F.explode(own).alias("v"))
+        others = [F.col("prior")[k] + F.col("total")[k] - F.col("v.own")[k] for k in range(len(ANSWERS))]
+        soft = _shares(each, others).select("field_name", "v.coder", "v.answer", "v.n", *[f"p{k}" for k in range(len(ANSWERS))])
         if as_map:  # few coder tables: kept on the driver between rounds
             rows = sorted(_model(soft, smoothing).collect())
             cells = lambda rs: [x for r in rs for row in r["table"] for x in row]
@@ -122,8 +134,8 @@ def fit(rounds: DataFrame, fields: tuple[str, ...] = FIELDS, most_rounds: int =
             ).agg(F.max(F.array_max(F.zip_with("new", "old", lambda a, b: F.abs(a - b))))).first()[0]
             model = new
         if moved is None or moved < tolerance:
-            break
-    return ballots, model
+            return ballots, model
+    raise RuntimeError(f"the votes did not settle in {most_rounds} rounds")
 
 
 def consensus(ballots: DataFrame, model: DataFrame) -> DataFrame:
@@ -135,8 +147,9 @@ def consensus(ballots: DataFrame, model: DataFrame) -> DataFrame:
     s = _shares(scored, [F.col("prior")[k] + F.col("total")[k] for k in range(len(ANSWERS))])
     best = F.greatest(*[f"p{k}" for k in range(len(ANSWERS))])
     answer = F.when(F.col("p0") == best, ANSWERS[0]).when(F.col("p1") == best, ANSWERS[1]).otherwise(ANSWERS[2])
-    counts = [F.size(F.filter("vs", lambda v, i=i: v["answer"] == i + 1)) for i in range(len(ANSWERS))]
-    n = F.size("vs")
+    counted = lambda i: F.aggregate(F.filter("vs", lambda v: v["answer"] == i + 1), F.lit(0).cast("long"), lambda x, v: x + v["n"])
+    counts = [counted(i) for i in range(len(ANSWERS))]
+    n = sum(counts[1:], counts[0])
     pairs = sum((c * (c - 1) for c in counts), F.lit(0))
     return s.select(
         "globaleventid", "field_name",

@@ -3,7 +3,7 @@
 Sizes are counted, best fit runs over counts (so its work depends on the number
 of different sizes, at most the capacity, not of documents), and each document
 takes the planned slot of its rank among the documents of its size. Ranks are
-counted in parts by hash, so that a size that a third of all documents share is
+counted in parts by hash, the more the more rows there are, so that a size that a third of all documents share is
 no single task's work.
 """
 
@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 CAPACITY = 8_192
-#: Parts in which the documents of one size are ranked.
-PARTS = 64
+#: The documents of one size are ranked in parts, as many as the table has so many rows, and at least LEAST_PARTS.
+PART_ROWS, LEAST_PARTS = 250_000, 16
+#: Slots of a plan up to which it is broadcast (24 bytes each); a longer plan is joined in SALTS parts.
+BROADCAST_SLOTS, SALTS = 1_000_000, 64
 
 
 def byt5_size(text: Column) -> Column:
@@ -85,7 +87,8 @@ def pieces(documents: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 def packed(documents: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """(doc_id, piece_no, n_tokens, container_id): every piece with its container; no container holds more than the capacity."""
     spark = documents.sparkSession
-    items = pieces(documents, capacity).withColumn("part", F.pmod(F.xxhash64("doc_id", "piece_no"), F.lit(PARTS)).cast("int"))
+    parts = max(LEAST_PARTS, documents.count() // PART_ROWS)
+    items = pieces(documents, capacity).withColumn("part", F.pmod(F.xxhash64("doc_id", "piece_no"), F.lit(parts)).cast("int"))
     counts = items.groupBy("n_tokens", "part").agg(F.count(F.lit(1)).alias("n"))
     offsets = counts.select("n_tokens", "part", (F.sum("n").over(Window.partitionBy("n_tokens").orderBy("part")) - F.col("n")).alias("offset"))
     histogram = {r[0]: r[1] for r in counts.groupBy("n_tokens").agg(F.sum("n")).collect()}
@@ -93,9 +96,13 @@ def packed(documents: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     slots = spark.createDataFrame(rows, "n_tokens long, low long, high long, container long, per long").groupBy("n_tokens").agg(
         F.array_sort(F.collect_list(F.struct("low", "high", "container", "per"))).alias("slots"))
     rank = (F.row_number().over(Window.partitionBy("n_tokens", "part").orderBy("doc_id", "piece_no")) - 1 + F.col("offset")).alias("rank")
-    ranked = items.join(offsets, ["n_tokens", "part"]).select("doc_id", "piece_no", "n_tokens", rank)
+    ranked = items.join(offsets, ["n_tokens", "part"]).select("doc_id", "piece_no", "n_tokens", rank, F.pmod("part", F.lit(SALTS)).alias("salt"))
     slot = F.filter("slots", lambda s: (s["low"] <= F.col("rank")) & (F.col("rank") <= s["high"]))[0]
-    return ranked.join(F.broadcast(slots), "n_tokens").withColumn("slot", slot).select(
+    if len(rows) <= BROADCAST_SLOTS:
+        placed = ranked.join(F.broadcast(slots), "n_tokens")
+    else:
+        placed = ranked.join(slots.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["n_tokens", "salt"])
+    return placed.withColumn("slot", slot).select(
         "doc_id", "piece_no", "n_tokens", (F.col("slot.container") + F.floor((F.col("rank") - F.col("slot.low")) / F.col("slot.per"))).cast("long").alias("container_id"))
 
 
