@@ -35,7 +35,7 @@ from weftline.llm.lines import SPACELESS, SPACELESS_LEAD
 from weftline.session import cut
 
 #: Words of a shingle, and the share of an item's distinct shingles that a document must hold to be a candidate.
-SHINGLE, LEAST_OVERLAP = 3, 0.2
+SHINGLE, LEAST_OVERLAP = 3, 0.25
 #: Share of an item's words that a document must hold; unmatched words that a run bridges.
 HELD, BRIDGE = 0.48, 5
 #: Words of the shortest run: a share of the item, within bounds.
@@ -230,7 +230,8 @@ def leaked(documents: DataFrame, items: DataFrame) -> DataFrame:
                 at: dict[int, list[int]] = defaultdict(list)
                 for k, g in enumerate(own.tolist()):
                     at[g].append(k)
-                if holds(at, n, shingles.tolist(), places.tolist()):
+                shared = shingles.tolist()
+                if len(at.keys() & set(shared)) >= needed(len(at)) and holds(at, n, shared, places.tolist()):
                     hits.append((doc_id, item_id))
             yield pd.DataFrame(hits, columns=["doc_id", "item_id"], dtype="int64")
 
