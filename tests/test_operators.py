@@ -251,3 +251,21 @@ def test_upsert_and_slices(spark):
     assert rows(entities.upserted(cur, spark.createDataFrame([(2, "c"), (3, "d")], "k long, v string"), ["k"])) == [(1, "a"), (2, "c"), (3, "d")]
     assert rows(entities.slice_by_order(spark.range(10).withColumnRenamed("id", "k"), [F.col("k")], 3, 4)) == [(3,), (4,), (5,), (6,)]
     assert math.isclose(entities.lexicon(spark.createDataFrame([(1, "P.K.K.; The Party aka M23", "government of X")], "id long, a string, b string"), "id", ["a", "b"], "s").count(), 3)
+
+def test_joint_model_with_many_trials():
+    """Counts of a large table: no overflow, the share's integral does not depend on the number of nodes, and the coefficient comes out."""
+    rng = np.random.default_rng(5)
+    theta = rng.uniform(0.1, 0.9, 12)
+    trials = rng.integers(50_000, 1_000_000, 12).astype(float)
+    hits = np.round(trials * (0.15 + 0.7 * theta))
+    y = 2 * theta - 4 + rng.normal(0, 0.05, 12)
+    c = latent.Counts(trials, hits, y, np.ones((12, 1)), 2_000_000, 1_700_000, 3_000_000, 450_000)
+    p = np.array([2.0, -4.0, np.log(0.05), np.log(0.15 / 0.85), np.log(0.7 / 0.15)])
+    assert abs(latent.log_likelihood(p, c) - latent.log_likelihood(p, c, n=200)) < 1e-6
+    far = p.copy()
+    far[3] = -5_000.0
+    assert np.isfinite(latent.log_likelihood(far, c))
+    got = latent.maximise(c)
+    assert got["converged"] and abs(got["gamma"] - 2) < 0.2 and 0 < got["se"] < 0.2
+    draws = latent.chain(c, 3, 300, 300)
+    assert np.isfinite(draws).all() and abs(draws[:, 0].mean() - 2) < 0.2

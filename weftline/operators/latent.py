@@ -72,26 +72,58 @@ class Counts:
             raise ValueError("counts must be whole")
 
 
+def _inverse_logit(v: float, most: float = 700.0) -> float:
+    return 1 / (1 + math.exp(-min(max(v, -most), most)))
+
+
+def _panels(c: Counts, b0: float, slope: float, off: np.ndarray, gamma: float, sigma: float, a: float, b: float) -> tuple[np.ndarray, np.ndarray]:
+    """Ends per unit of the part of (0, 1) that holds nearly all of its share's density: around the mode, which bisection finds, as wide as the curvature there asks for."""
+    lo, hi = np.zeros(len(off)), np.ones(len(off))
+
+    def parts(x: np.ndarray) -> tuple[np.ndarray, ...]:
+        rate = np.clip(b0 + slope * x, 1e-12, 1 - 1e-12)
+        return rate, np.maximum(x, 1e-300), np.maximum(1 - x, 1e-300)
+
+    for _ in range(40):
+        x = (lo + hi) / 2
+        rate, left, right = parts(x)
+        up = slope * (c.hits / rate - (c.trials - c.hits) / (1 - rate)) + gamma * (off - gamma * x) / sigma ** 2 + max(a - 1, 0) / left - max(b - 1, 0) / right > 0
+        lo, hi = np.where(up, x, lo), np.where(up, hi, x)
+    mode = (lo + hi) / 2
+    rate, left, right = parts(mode)
+    bend = slope ** 2 * (c.hits / rate ** 2 + (c.trials - c.hits) / (1 - rate) ** 2) + (gamma / sigma) ** 2 + max(a - 1, 0) / left ** 2 + max(b - 1, 0) / right ** 2
+    wide = 10 / np.sqrt(np.maximum(bend, 1e-12)) + 40 / np.maximum(c.trials * slope, 1e-12)
+    return np.clip(mode - wide, 0, 1), np.clip(mode + wide, 0, 1)
+
+
 def log_likelihood(p: np.ndarray, c: Counts, beta_latent: bool = False, n: int = 64) -> float:
-    """Log likelihood with the latent share integrated out.
+    """Log likelihood with the latent share integrated out, by n nodes around each unit's mode and n on either side of it, however many trials a unit has.
 
     p = [gamma, alpha.., log sigma, logit b0, logit((b1 - b0) / (1 - b0))] and, for a
     beta latent share, [logit mean, log concentration].
     """
     k = c.q.shape[1]
     gamma, alpha, sigma = p[0], p[1:1 + k], math.exp(min(max(p[1 + k], -20), 20))
-    b0 = 1 / (1 + math.exp(-p[2 + k]))
-    b1 = b0 + (1 - b0) / (1 + math.exp(-p[3 + k]))
-    x, w = nodes(n)
-    rate = b0 + (b1 - b0) * x
-    rate = np.clip(rate, 1e-12, 1 - 1e-12)
-    prior = np.log(w)
+    b0 = _inverse_logit(p[2 + k])
+    slope = (1 - b0) * _inverse_logit(p[3 + k])
+    b1 = b0 + slope
+    a = b = 1.0
     if beta_latent:
-        mean, size = 1 / (1 + math.exp(-p[4 + k])), math.exp(min(p[5 + k], 12))
+        mean, size = _inverse_logit(p[4 + k], 30.0), math.exp(min(max(p[5 + k], -12), 12))
         a, b = mean * size, (1 - mean) * size
-        prior = prior + (a - 1) * np.log(x) + (b - 1) * np.log1p(-x) - (math.lgamma(a) + math.lgamma(b) - math.lgamma(a + b))
-    off = (c.y - c.q @ alpha)[:, None] - gamma * x[None]
-    each = prior[None] + c.hits[:, None] * np.log(rate)[None] + (c.trials - c.hits)[:, None] * np.log1p(-rate)[None] - 0.5 * (off / sigma) ** 2 - math.log(sigma)
+    part, weight = nodes(n)
+    rest = c.y - c.q @ alpha
+    low, high = _panels(c, b0, slope, rest, gamma, sigma, a, b)
+    ends = np.stack([np.zeros_like(low), low, high, np.ones_like(low)], axis=1)
+    wide = np.diff(ends, axis=1)
+    x = (ends[:, :-1, None] + wide[:, :, None] * part).reshape(len(low), -1)
+    with np.errstate(divide="ignore"):
+        prior = np.log(wide[:, :, None] * weight).reshape(len(low), -1)
+    rate = np.clip(b0 + slope * x, 1e-12, 1 - 1e-12)
+    if beta_latent:
+        left, right = np.maximum(x, 1e-300), np.maximum(1 - x, 1e-300)
+        prior = prior + (a - 1) * np.log(left) + (b - 1) * np.log(right) - (math.lgamma(a) + math.lgamma(b) - math.lgamma(a + b))
+    each = prior + c.hits[:, None] * np.log(rate) + (c.trials - c.hits)[:, None] * np.log1p(-rate) - 0.5 * ((rest[:, None] - gamma * x) / sigma) ** 2 - math.log(sigma)
     top = each.max(1)
     total = float((top + np.log(np.exp(each - top[:, None]).sum(1))).sum())
     valid = lambda k_, n_, r: k_ * math.log(max(r, 1e-12)) + (n_ - k_) * math.log(max(1 - r, 1e-12))
@@ -102,6 +134,33 @@ def _slope(f, p: np.ndarray, h: float = 1e-5) -> np.ndarray:
     return np.array([(f(p + e) - f(p - e)) / (2 * h) for e in np.eye(len(p)) * h])
 
 
+def _bfgs(f, p: np.ndarray, size: float | None, rounds: int) -> tuple[np.ndarray, float, bool]:
+    """(p, f, converged) at a minimum; the first direction is the slope times ``size``, or as long as moves no parameter by more than 1."""
+    first = lambda g: np.eye(len(p)) * (size or min(0.01, 1 / max(float(np.abs(g).max()), 1e-12)))
+    g = _slope(f, p)
+    inverse, now = first(g), f(p)
+    for _ in range(rounds):
+        step = -inverse @ g
+        if g @ step > 0:
+            inverse = first(g)
+            step = -inverse @ g
+        part = 1.0
+        while part > 1e-10 and not (new := f(p + part * step)) <= now + 1e-4 * part * (g @ step):
+            part /= 2
+        if part <= 1e-10:
+            return p, now, bool(np.abs(g).max() < 1e-2)
+        moved = part * step
+        fresh = _slope(f, p + moved)
+        dg = fresh - g
+        p, g, gain, now = p + moved, fresh, now - new, new
+        if (sy := moved @ dg) > 1e-12:
+            e = np.eye(len(p)) - np.outer(moved, dg) / sy
+            inverse = e @ inverse @ e.T + np.outer(moved, moved) / sy
+        if gain < 1e-9 * (1 + abs(now)):
+            return p, now, True
+    return p, now, False
+
+
 def maximise(c: Counts, beta_latent: bool = False, n: int = 64, rounds: int = 200) -> dict:
     """Maximum likelihood by BFGS with numeric slopes; errors from the Hessian, with its least eigenvalue as a check."""
     k = c.q.shape[1]
@@ -114,33 +173,15 @@ def maximise(c: Counts, beta_latent: bool = False, n: int = 64, rounds: int = 20
     logit = lambda v: math.log(v / (1 - v))
     p = np.array([*start, math.log(max(res.std(), 1e-3)), logit(fpr), logit(min(max((tpr - fpr) / (1 - fpr), 1e-4), 1 - 1e-4)), *([0.0, math.log(2)] if beta_latent else [])])
     f = lambda v: -log_likelihood(v, c, beta_latent, n)
-    g, inverse, now, converged = _slope(f, p), np.eye(len(p)) * 0.01, f(p), False
-    for _ in range(rounds):
-        step = -inverse @ g
-        if g @ step > 0:
-            inverse, step = np.eye(len(p)) * 0.01, -0.01 * g
-        size = 1.0
-        while size > 1e-10 and not (new := f(p + size * step)) <= now + 1e-4 * size * (g @ step):
-            size /= 2
-        if size <= 1e-10:
-            converged = bool(np.abs(g).max() < 1e-2)
-            break
-        moved = size * step
-        fresh = _slope(f, p + moved)
-        dg = fresh - g
-        p, g, gain, now = p + moved, fresh, now - new, new
-        if (sy := moved @ dg) > 1e-12:
-            e = np.eye(len(p)) - np.outer(moved, dg) / sy
-            inverse = e @ inverse @ e.T + np.outer(moved, moved) / sy
-        if gain < 1e-9 * (1 + abs(now)):
-            converged = True
-            break
-    h = 1e-4
-    hessian = np.array([(_slope(f, p + e) - _slope(f, p - e)) / (2 * h) for e in np.eye(len(p)) * h])
+    # Slopes grow with the counts: one search starts with short steps, the other with steps of 1 at most, and the better end is kept.
+    p, now, converged = min((_bfgs(f, p, size, rounds) for size in (0.01, None)), key=lambda end: end[1])
+    h = max(1e-4, (1e-16 * abs(now)) ** 0.25)  # wider where rounding would hide the curvature
+    hessian = np.array([(_slope(f, p + e, h) - _slope(f, p - e, h)) / (2 * h) for e in np.eye(len(p)) * h])
     hessian = (hessian + hessian.T) / 2
     least = float(np.linalg.eigvalsh(hessian).min())
-    se = math.sqrt(max(np.linalg.pinv(hessian)[0, 0], 0))
-    return {"gamma": float(p[0]), "se": se, "log_likelihood": -float(now), "parameters": len(p), "least_eigenvalue": least, "converged": converged, "p": p, "aic": 2 * len(p) + 2 * float(now), "k": k}
+    spread = np.linalg.pinv(hessian)[0, 0]
+    se = math.sqrt(spread) if spread > 0 else math.nan  # no error where the likelihood is flat in gamma
+    return {"gamma": float(p[0]), "se": se, "log_likelihood": -float(now), "parameters": len(p), "least_eigenvalue": least, "converged": converged, "p": p, "aic": 2 * len(p) + 2 * float(now), "k": k, "hessian": hessian}
 
 
 # Log prior densities of the error's standard deviation, by name, as functions of its log (with the change of variable).
@@ -155,10 +196,14 @@ def chain(c: Counts, seed: int, draws: int, warmup: int, beta_latent: bool = Fal
     """Draws of all parameters by adaptive random-walk Metropolis with weak normal priors, started at the maximum."""
     best = maximise(c, beta_latent)
     rng = np.random.default_rng(seed)
-    p = best["p"] + rng.normal(0, 0.05, len(best["p"]))
+    # The first steps follow the curvature at the maximum, no direction wider than its prior.
+    weak = np.array([0.01] * (1 + best["k"]) + [1.0] + [1 / 9] * (len(best["p"]) - 2 - best["k"]))
+    bend, axes = np.linalg.eigh(best["hessian"] + np.diag(weak))
+    cov = (axes / np.maximum(bend, weak.min())) @ axes.T
+    p = best["p"] + 0.5 * rng.multivariate_normal(np.zeros(len(best["p"])), cov)
     prior = lambda v: -0.5 * float((v[0] / 10) ** 2 + ((v[1:1 + best["k"]] / 10) ** 2).sum() + (v[2 + best["k"]:] ** 2 / 9).sum()) + SIGMA_PRIORS[sigma_prior](min(v[1 + best["k"]], 20.0))
     now = log_likelihood(p, c, beta_latent) + prior(p)
-    cov, scale, out = np.eye(len(p)) * 0.01, 1.0, []
+    scale, out = 1.0, []
     for i in range(warmup + draws):
         new = p + scale * rng.multivariate_normal(np.zeros(len(p)), cov)
         there = log_likelihood(new, c, beta_latent) + prior(new)
@@ -169,7 +214,7 @@ def chain(c: Counts, seed: int, draws: int, warmup: int, beta_latent: bool = Fal
         if i < warmup:
             scale *= math.exp((took - 0.25) / math.sqrt(i + 1))
             if i >= 100 and i % 50 == 0:
-                cov = np.cov(np.array(out[i // 2:]).T) + 1e-6 * np.eye(len(p))
+                cov = np.cov(np.array(out[i // 2:]).T) + 1e-9 * np.eye(len(p))
     return np.array(out[warmup:])
 
 
