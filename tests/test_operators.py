@@ -72,6 +72,25 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch):
     assert dedup.near_classes(df.limit(0)).count() == 0
 
 
+def test_near_pairs_leave_texts_and_shingles_out_of_the_checkpoint_folder(spark):
+    """What the search writes grows with texts and pairs, not with shingles."""
+    import pathlib
+
+    spark.range(1).checkpoint()
+    folder = pathlib.Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    written = lambda: sum(f.stat().st_size for f in folder.rglob("*") if f.is_file())
+    rng = np.random.default_rng(7)
+    words = [[f"w{v}" for v in rng.integers(0, 10 ** 6, 1500)] for _ in range(60)]
+    rows = [(2 * i + late, " ".join(w[9 * late:])) for i, w in enumerate(words) for late in (0, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    before = written()
+    got = {(r.id_1, r.id_2, r.similarity) for r in dedup.near_pairs(dedup.representatives(df)).collect()}
+    assert got == {(2 * i, 2 * i + 1, round(1487 / 1496, 4)) for i in range(60)}
+    assert written() - before < sum(len(x) for _, x in rows) / 4
+    copies = df.unionByName(df.selectExpr("doc_id + 1000 as doc_id", "text"))
+    assert {(r.id_1, r.id_2) for r in dedup.near_pairs(dedup.representatives(copies)).collect()} == {x[:2] for x in got}
+
+
 def test_components_on_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (5, 5)], "id_1 long, id_2 long")
     got = {r.id: r.class_id for r in dedup.components(edges).collect()}
