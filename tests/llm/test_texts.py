@@ -44,6 +44,21 @@ def test_learned_words():
     assert splitter.ends("ทหารปิดสะพาน 33 คน") == [18]
 
 
+def test_words_are_learned_from_all_texts(spark):
+    """Counts come from every document: a word of few of many documents counts as often as it stands, and parts add up to the whole."""
+    rows = [(i, "plain words here, no more") for i in range(9_000)] + [(10_000 + i, f"He saw qzx. {i} men, then qzx. 5 more") for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    counted = sentences.learn_all(df)
+    assert "qzx" in counted.leading and "here" not in counted.leading
+    assert counted.leading == sentences.learn([t for _, t in rows]).leading
+    words = ["政府军", "医生", "桥梁", "市场"]
+    rng = random.Random(4)
+    texts = ["".join(rng.choice([*words, *"甲乙丙丁戊己庚辛壬癸子丑寅卯"]) for _ in range(9)) for _ in range(400)] + ["ทหารปิดสะพาน 33 คน\n" * 6]
+    many = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    one, all_ = sentences.learn(texts), sentences.learn_all(many)
+    assert all_.han.words == one.han.words >= set(words) and all_.lattice.words == one.lattice.words
+
+
 def test_unit_positions(spark):
     text = "1. One thing\n\n  - Two. Three!  \n \nEnd of text.Next one"
     ends = sentences.Splitter().ends(text)

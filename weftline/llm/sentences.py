@@ -23,8 +23,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Documents that Thai opening words and abbreviations are learned from.
-SAMPLE_DOCUMENTS = 4_000
+#: Least counts of learned words are those of so many documents and grow with more; words are learned from all.
+PER_DOCUMENTS = 4_000
+#: Different words that a task counts before it hands its counts on.
+TALLIED = 1_000_000
 
 # Abbreviations that stand before a name, a number or the word they shorten, and so never end a unit.
 LEADING = set(
@@ -82,6 +84,9 @@ _HAN = "぀-ヿ㐀-鿿豈-﫿々ー"
 _HAN_RUN = re.compile(f"[{_HAN}]+")
 _HAN_CLAUSE = re.compile("[^。！？，,!?\n]*")
 _HAN_GAP = re.compile(f"(?<=[{_HAN}])\\s+(?=[{_HAN}])")
+# Short words are told by their last five letters.
+_POINTED = re.compile(r"([^\W\d_]++)\.(?=\s+\S)")
+_UNPOINTED = re.compile(r"[^\W\d_]++(?=[\s,;])")
 _LATIN_DOTS = re.compile(r"^(?:[^\W\d_]\.)+[^\W\d_]?$")
 
 
@@ -255,84 +260,131 @@ class Splitter:
         return True
 
 
-def learned_words(runs: list[str], longest: int, least: int = 6, bond: float = 10.0) -> set[str]:
-    """Words of two letters and more: strings that stand in different neighbourhoods and hold together, every cut of them being ``bond`` times rarer by chance."""
-    counts: Counter[str] = Counter()
-    before: dict[str, set[str]] = defaultdict(set)
-    after: dict[str, set[str]] = defaultdict(set)
-    for run in runs:
-        for n in range(1, longest + 1):
-            for i in range(len(run) - n + 1):
-                w = run[i:i + n]
-                counts[w] += 1
-                if n > 1:
-                    before[w].add(run[i - 1:i])
-                    after[w].add(run[i + n:i + n + 1])
-    total = sum(n for w, n in counts.items() if len(w) == 1)
-    return {w for w, n in counts.items() if len(w) > 1 and n >= least and len(before[w]) > 1 and len(after[w]) > 1
-            and all(n * total >= bond * counts[w[:i]] * counts[w[i:]] for i in range(1, len(w)))}
-
-
-def _sides(at: Counter, off: Counter, taken: tuple[str, ...], least: int = 3) -> tuple[str, ...]:
-    """Strings that stand at one place but hardly ever at the other, without those that a shorter one of them opens."""
-    own = {w for w, n in at.items() if n >= least and not w.startswith(taken) and off[w] <= 0.02 * n}
-    return tuple(sorted(w for w in own if not any(w[:k] in own for k in range(4, len(w)))))
+class Tally:
+    """Counts over texts that the dictionaries are decided from: what Thai lines open, go on and end with, words with and without a point, strings of Chinese and Japanese."""
 
+    def __init__(self, longest: int = 4) -> None:
+        self.longest = longest
+        self.opens, self.behind, self.closes, self.amid, self.pointed, self.plain, self.lower_after, self.grams = (Counter() for _ in range(8))
+        self.before: dict[str, set[str]] = defaultdict(set)
+        self.after: dict[str, set[str]] = defaultdict(set)
 
-def learn(texts: list[str]) -> Splitter:
-    """A splitter with words of the texts: Chinese and Japanese ones, Thai ones that lines open and end with or that go on behind numbers, and short words that almost always carry a point."""
-    opens: Counter[str] = Counter()
-    behind: Counter[str] = Counter()
-    closes: Counter[str] = Counter()
-    amid: Counter[str] = Counter()
-    pointed: Counter[str] = Counter()
-    plain: Counter[str] = Counter()
-    lower_after: Counter[str] = Counter()
-    han: list[str] = []
-    for text in texts:
-        for line in text.split("\n"):
+    def __len__(self) -> int:
+        return sum(map(len, (self.opens, self.behind, self.closes, self.amid, self.pointed, self.plain, self.grams)))
+
+    def add_runs(self, runs: list[str]) -> None:
+        for run in runs:
+            for n in range(1, self.longest + 1):
+                for i in range(len(run) - n + 1):
+                    w = run[i:i + n]
+                    self.grams[w] += 1
+                    if n > 1:
+                        self.before[w].add(run[i - 1:i])
+                        self.after[w].add(run[i + n:i + n + 1])
+
+    def add(self, text: str) -> None:
+        for line in text.split("\n") if not text.isascii() else ():
             if line.isascii():
                 continue
-            han += _HAN_RUN.findall(line)
+            self.add_runs(_HAN_RUN.findall(line))
             if _THAI.search(line):
                 runs = line.lstrip("-•*–— 0123456789.)(").split()
                 if runs and _THAI.match(runs[0]):
-                    opens.update(runs[0][:n] for n in range(4, min(len(runs[0]), 14) + 1))
+                    self.opens.update(runs[0][:n] for n in range(4, min(len(runs[0]), 14) + 1))
                 if runs and _THAI.match(runs[-1][-1]):
-                    closes.update(runs[-1][-n:] for n in range(3, min(len(runs[-1]), 10) + 1))
+                    self.closes.update(runs[-1][-n:] for n in range(3, min(len(runs[-1]), 10) + 1))
                 for last, run in zip(runs, runs[1:]):
                     if not _THAI.search(last):
-                        behind.update(run[:n] for n in range(4, min(len(run), 14) + 1))
+                        self.behind.update(run[:n] for n in range(4, min(len(run), 14) + 1))
                     if not _THAI.search(run):
-                        amid.update(last[-n:] for n in range(3, min(len(last), 10) + 1))
-        for m in re.finditer(r"([^\W\d_]{1,5})(\.(?=\s+\S)|(?=[\s,;]))", text):
-            low = m[1].lower()
-            if m[2]:
-                pointed[low] += 1
-                nxt = text[m.end():m.end() + 4].strip()[:1]
-                lower_after[low] += nxt.islower() or nxt.isdigit()
-            else:
-                plain[low] += 1
-    thai = _sides(opens, behind, tuple(THAI_CONTINUERS))
-    continuers = _sides(behind, opens, tuple(THAI_OPENERS))
-    ending = {w for w, n in closes.items() if n >= 5 and amid[w] <= 0.02 * n and unicodedata.category(w[0])[0] != "M"}
+                        self.amid.update(last[-n:] for n in range(3, min(len(last), 10) + 1))
+        self.plain.update([w[-5:] for w in _UNPOINTED.findall(text.lower())])
+        for m in _POINTED.finditer(text):
+            low = m[1][-5:].lower()
+            self.pointed[low] += 1
+            nxt = text[m.end():m.end() + 4].strip()[:1]
+            self.lower_after[low] += nxt.islower() or nxt.isdigit()
+
+    def rows(self) -> list[tuple]:
+        """(family, word, x, y, z, b0, b1, a0, a1): three counts of a word, and the least and greatest letter before and after it."""
+        out: list[tuple] = []
+        for family, x, y, z in (("start", self.opens, self.behind, {}), ("end", self.closes, self.amid, {}), ("point", self.pointed, self.plain, self.lower_after)):
+            out += [(family, w, x.get(w, 0), y.get(w, 0), z.get(w, 0), None, None, None, None) for w in x.keys() | y.keys()]
+        return out + [("han", w, n, 0, 0, *((min(self.before[w]), max(self.before[w]), min(self.after[w]), max(self.after[w])) if len(w) > 1 else (None,) * 4)) for w, n in self.grams.items()]
+
+
+def _bonded(grams: dict[str, tuple], least: float, bond: float) -> set[str]:
+    """Strings of two letters and more that stand in different neighbourhoods and hold together; grams has (count, least and greatest letter before and after)."""
+    total = sum(g[0] for w, g in grams.items() if len(w) == 1)
+    return {w for w, (n, b0, b1, a0, a1) in grams.items() if len(w) > 1 and n >= least and b0 != b1 and a0 != a1
+            and all(n * total >= bond * grams[w[:i]][0] * grams[w[i:]][0] for i in range(1, len(w)))}
+
+
+def learned_words(runs: list[str], longest: int, least: float = 6, bond: float = 10.0) -> set[str]:
+    """Words of two letters and more: strings that stand in different neighbourhoods and hold together, every cut of them being ``bond`` times rarer by chance."""
+    tally = Tally(longest)
+    tally.add_runs(runs)
+    return _bonded({r[1]: (r[2], *r[5:]) for r in tally.rows()}, least, bond)
+
+
+def _sides(at: Counter, off: Counter, taken: tuple[str, ...], least: float = 3) -> tuple[str, ...]:
+    """Strings that stand at one place but hardly ever at the other, without those that a shorter one of them opens."""
+    own = {w for w, n in at.items() if n >= least and not w.startswith(taken) and off[w] <= 0.02 * n}
+    return tuple(sorted(w for w in own if not any(w[:k] in own for k in range(4, len(w)))))
+
+
+def _decided(rows: list[tuple], documents: int) -> Splitter:
+    """A splitter from the counts over so many documents. Least counts are those of ``PER_DOCUMENTS`` documents and grow with more."""
+    more = max(1.0, documents / PER_DOCUMENTS)
+    of: dict[str, dict[str, tuple]] = defaultdict(dict)
+    for family, word, *counts in rows:
+        of[family][word] = tuple(counts)
+    opens, behind = (Counter({w: c[i] for w, c in of["start"].items() if c[i]}) for i in (0, 1))
+    thai = _sides(opens, behind, tuple(THAI_CONTINUERS), 3 * more)
+    continuers = _sides(behind, opens, tuple(THAI_OPENERS), 3 * more)
+    ending = {w for w, c in of["end"].items() if c[0] >= 5 * more and c[1] <= 0.02 * c[0] and unicodedata.category(w[0])[0] != "M"}
     finals = tuple(sorted(w for w in ending if not any(w[-k:] in ending for k in range(3, len(w)))))
-    learned = tuple(w for w, n in pointed.items() if n >= 8 and plain[w] <= 0.02 * n and lower_after[w] >= 0.9 * n)
-    return Splitter(thai, learned, continuers, finals, tuple(sorted(learned_words(han, 4))))
+    learned = tuple(sorted(w for w, c in of["point"].items() if c[0] >= 8 * more and c[1] <= 0.02 * c[0] and c[2] >= 0.9 * c[0]))
+    return Splitter(thai, learned, continuers, finals, tuple(sorted(_bonded({w: (c[0], *c[3:]) for w, c in of["han"].items()}, 6 * more, 10.0))))
 
 
-def sampled_texts(documents: DataFrame, rows: int = SAMPLE_DOCUMENTS) -> list[str]:
-    """About ``rows`` texts, all if there are no more, chosen by the hash of their id."""
-    total = documents.count()
-    picked = documents.where("text is not null").select("text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)).alias("h"))
-    if total > rows:
-        picked = picked.where(F.col("h") < int((1 << 30) * rows / total))
-    return [r[0] for r in sorted(picked.limit(2 * rows).collect(), key=lambda r: (r[1], r[0]))]
+def learn(texts: list[str]) -> Splitter:
+    """A splitter with words of the texts: Chinese and Japanese ones, Thai ones that lines open and end with or that go on behind numbers, and short words that almost always carry a point."""
+    tally = Tally()
+    for text in texts:
+        tally.add(text)
+    return _decided(tally.rows(), len(texts))
+
+
+def learn_all(documents: DataFrame) -> Splitter:
+    """``learn`` over all texts: tasks count, the counts are summed up by word, and only words that are frequent enough for a decision are collected."""
+    columns = ["family", "word", "x", "y", "z", "b0", "b1", "a0", "a1"]
+
+    def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tally = Tally()
+        for pdf in batches:
+            for text in pdf["text"]:
+                tally.add(text)
+            if len(tally) > TALLIED:
+                yield pd.DataFrame(tally.rows(), columns=columns)
+                tally = Tally()
+        if len(tally):
+            yield pd.DataFrame(tally.rows(), columns=columns)
+
+    counted = documents.where("text is not null").select("text").mapInPandas(go, "family string, word string, x long, y long, z long, b0 string, b1 string, a0 string, a1 string")
+    total = counted.groupBy("family", "word").agg(*[F.sum(c).alias(c) for c in "xyz"], *[f(c).alias(c) for c, f in (("b0", F.min), ("b1", F.max), ("a0", F.min), ("a1", F.max))])
+    # All parts of a frequent string are as frequent, so none that a decision needs is missing.
+    texts = documents.where("text is not null").count()
+    more = max(1.0, texts / PER_DOCUMENTS)
+    start, end, point = (F.col("family") == k for k in ("start", "end", "point"))
+    wanted = ((start & (F.greatest("x", "y") >= 3 * more)) | (end & (F.col("x") >= 5 * more) & (F.col("y") <= 0.02 * F.col("x")))
+              | (point & (F.col("x") >= 8 * more) & (F.col("y") <= 0.02 * F.col("x"))) | ((F.col("family") == "han") & ((F.col("x") >= 6 * more) | (F.length("word") == 1))))
+    return _decided([tuple(r) for r in total.where(wanted).collect()], texts)
 
 
 def unit_ends(documents: DataFrame, splitter: Splitter | None = None) -> DataFrame:
     """(doc_id, end_pos), one row per unit; whole texts. Null or blank texts and null ids give nothing; repeated rows count once."""
-    splitter = splitter or learn(sampled_texts(documents))
+    splitter = splitter or learn_all(documents)
     shared = documents.sparkSession.sparkContext.broadcast(splitter)
 
     def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
