@@ -47,6 +47,22 @@ def test_slips(a, b, n):
 COLUMNS = "globaleventid long, coding_round int, coder_1_id string, coder_2_id string, any_fatalities_mentioned_coder_1 string, any_fatalities_mentioned_coder_2 string, any_physical_violence_mentioned_coder_1 string, any_physical_violence_mentioned_coder_2 string, answer string"
 
 
+
+def test_all_words_as_near_are_kept():
+    """A typed word that is one slip from six words of the list may stand for any of them; the rest of the name tells which."""
+    ends = "bcdfgh"
+    counts = [(f"mar{c}", 1, False) for c in ends] + [(w, 1, False) for w in ("north", "south", "east", "west", "upper", "lower")]
+    known = names.Words(counts).look("marz")
+    assert [w for w, _ in names.readings("marz", known)] == [f"mar{c}" for c in ends]
+    matcher = names.Matcher([(i, f"{side} mar{c}", None) for i, (c, side) in enumerate(zip(ends, ("north", "south", "east", "west", "upper", "lower")))])
+    read = [names.readings(t, names.Words(counts).look(t)) for t in ("lower", "marz")]
+    assert matcher.match(["lower", "marz"], read) == (1.0, {5})
+    word = lambda i, j: f"v{chr(97 + i)}{chr(97 + j)}k"
+    many = [[(word(i, j), 1.0) for j in range(20)] for i in range(8)]
+    big = names.Matcher([(1, " ".join(word(i, 19 - i) for i in range(8)), None)])
+    assert big.match([f"t{chr(97 + i)}x" for i in range(8)], many) == (8.0, {1})
+
+
 def made(n=400):
     import random
 

@@ -15,7 +15,6 @@ import re
 import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import product
 
 import ahocorasick
 import pandas as pd
@@ -114,7 +113,7 @@ class Words:
     def look(self, token: str) -> list[tuple[str, str, float]]:
         """(kind, word, weight) of what the block knows of a token: the word itself, words it starts or lies in or is far from (by entries), words it slips into (by slips).
 
-        Of each kind only as many are given as a decision over all blocks needs.
+        Of each kind only what a decision over all blocks needs is given: all words of the block's fewest slips, and the two words of most entries of each other kind.
         """
         if token in self.counts:
             return [("same", token, 0.0)]
@@ -123,9 +122,10 @@ class Words:
         plain, allowed = sounded(token), 2 if len(token) > 5 else 1
         mates = self.starting.get(token[0], [])
         longer = [w for w in mates if len(w) > len(token) + 1] if 2 <= len(token) <= 6 else []
-        slipped = [(d, w[0] != token[0], w) for w in set().union(*(self.near.get(c, ()) for c in _cuts(plain, allowed)))
+        slipped = [(d, w) for w in set().union(*(self.near.get(c, ()) for c in _cuts(plain, allowed)))
                    if (d := slips(plain, sounded(w), allowed)) <= (2 if min(len(w), len(token)) > 5 else 1)]
-        out = [("slip", w, float(d)) for d, _, w in sorted(slipped)[:3]]
+        fewest = min((d for d, _ in slipped), default=0)
+        out = [("slip", w, float(d)) for d, w in sorted(slipped) if d == fewest]
         for kind, words in (("start", [w for w in longer if w.startswith(token)]), ("inside", [w for w in longer if _inside(token, w)]),
                             ("far", [w for w in mates if len(token) > 6 and slips(plain, sounded(w), 3) <= 3])):
             out += [(kind, w, float(self.counts[w])) for w in sorted(words, key=lambda w: (-self.counts[w], w))[:2]]
@@ -151,7 +151,7 @@ def readings(token: str, known: list[tuple[str, str, float]]) -> list[tuple[str,
         least = min(d for _, d in of["slip"])
         nearest = sorted(w for w, d in of["slip"] if d == least)
         nearest = [w for w in nearest if w[0] == token[0]] or nearest
-        return [(w, least or 0.5) for w in nearest[:3]]
+        return [(w, least or 0.5) for w in nearest]
     if within := _clear(of["inside"]):
         return [(within[0], 0.5)]
     return [(w, 3.0) for w in _clear(of["far"])]
@@ -177,6 +177,10 @@ class Matcher:
                     for w in words:
                         self.by_lack[words - {w}].add(key)
         self.longest = max(map(len, self.by_set), default=0)
+        self.holding: dict[tuple[str, int], list[frozenset[str]]] = defaultdict(list)
+        for words in self.by_set:
+            for w in words:
+                self.holding[w, len(words)].append(words)
         self.automaton = ahocorasick.Automaton()
         for name, keys in self.names.items():
             self.automaton.add_word(f" {name} ", (len(name), frozenset(keys)))
@@ -206,6 +210,29 @@ class Matcher:
                 return -float(sum(e - s for s, e, _ in taken)), set(ids)
         return self._by_words(toks, read)
 
+    def _combined(self, forms: list[list[tuple[str, float]]]) -> dict[frozenset[str], float]:
+        """Sets of words, another one for each token, that are an entry's words or lack one of them, each with the least cost.
+
+        The entries that hold a word of the token with fewest such entries are gone through, however many words a token may stand for.
+        """
+        found: dict[frozenset[str], float] = {}
+        options = [dict(sorted(f, key=lambda x: -x[1])) for f in forms]
+        for size in (len(forms), len(forms) + 1):
+            rarest = min(options, key=lambda o: sum(len(self.holding.get((w, size), ())) for w in o))
+            for words in {s for w in rarest for s in self.holding.get((w, size), ())}:
+                states: dict[frozenset[str], float] = {frozenset(): 0.0}
+                for o in options:
+                    grown: dict[frozenset[str], float] = {}
+                    for used, cost in states.items():
+                        for w in (words & o.keys()) - used:
+                            k = used | {w}
+                            grown[k] = min(cost + o[w], grown.get(k, 1e9))
+                    if not (states := grown):
+                        break
+                for used, cost in states.items():
+                    found[used] = min(cost, found.get(used, 1e9))
+        return found
+
     def _by_words(self, toks: list[str], read: list[list[tuple[str, float]]]) -> tuple[float, set[int]]:
         forms_of = dict(zip(toks, read))
         forms, plainly, odd = [], [], []
@@ -221,10 +248,7 @@ class Matcher:
         if not forms or len(odd) > 1 or len(forms) > self.longest:
             return 99.0, set()
         best: tuple[float, set[int]] = (99.0, set())
-        for combo in product(*forms):
-            words, cost = frozenset(w for w, _ in combo), sum(c for _, c in combo)
-            if len(words) < len(combo):
-                continue
+        for words, cost in self._combined(forms).items():
             if (ids := self.by_set.get(words)) is None:
                 if plainly or (ids := self.by_lack.get(words)) is None:
                     continue
