@@ -187,3 +187,68 @@ def test_empty_tables(spark, models):
     none = spark.createDataFrame([], SCHEMA)
     for f in (mainbody.furniture_lines, residue.no_story_articles, siteblocks.repeated_lines, siteblocks.boilerplate_lines, langtags.wrong_or_mixed, mainbody.main_text, langtags.story_paragraphs):
         assert f(none).count() == 0
+
+
+def plain_key(line):
+    """What ``line_key`` says, letter by letter."""
+    import re
+    import unicodedata
+
+    text = line.lower() if line.isascii() else unicodedata.normalize("NFC", line.upper().casefold())
+    text = re.sub(r"(?<=\d)\s*[年月日号號時时分秒]", " ", text.replace("\x00", " "))
+    parts = "".join("\x00" if c.isdecimal() else c for c in text).split("\x00")
+    out = []
+    for i, part in enumerate(parts):
+        words = re.findall(r"[^\W_]+", part)
+        if words and i > 0 and words[0] in lines.FILLED:
+            words = words[1:]
+        if words and i < len(parts) - 1 and words[-1] in lines.FILLED:
+            words = words[:-1]
+        out.append("".join(words))
+    return re.sub("\x00+", "#", "\x00".join(out)) or line.strip()
+
+
+def calls_of(f, *args):
+    import sys
+
+    n = 0
+
+    def count(frame, event, arg):
+        nonlocal n
+        n += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        f(*args)
+    finally:
+        sys.setprofile(None)
+    return n
+
+
+def test_line_keys_equal_plain_ones():
+    rng = random.Random(8)
+    some = [*lines.FILLED, *(m.upper() for m in lines.MONTHS), *"0123456789" * 8, *["2021", "12:30", "٣", "१२", "𝟙", "²", "年", "月", "日", "_", " ", " ", ".", "/", "\x00", "\t", "ß", "İ", "é", "é", "का", "×", "÷", "“", "—", "x", "maymay", "한"] * 3]
+    for _ in range(20_000):
+        line = "".join(rng.choice(some) for _ in range(rng.randint(1, 9))) + rng.choice(["", " Besk", " Жители"])
+        assert lines.line_key(line) == plain_key(line), repr(line)
+
+
+def test_keys_of_lines_with_numbers_are_made_in_few_steps():
+    for line in ("A patrol denied that 14 vehicles were damaged on 3 May near the old mill and that 120 people had left before 6 pm for the valley.", "Жители сообщили, что 14 машин сгорели 3 мая у старой мельницы, а 120 человек ушли до 18 часов в соседнюю долину на севере."):
+        assert len(line) >= 120 and calls_of(lines.line_key, line) < 60
+
+
+def test_link_marks():
+    assert mainbody.link_marks("Home | News · Sport - Weather - http://a.example www.b.example, #tag") == 8
+    assert mainbody.link_marks("well-known and/or - - done") == 1 and mainbody.link_marks("https://x") == 1 and mainbody.link_marks("") == 0
+
+
+def test_leading_languages_are_those_of_the_distributions(models):
+    field = models[1]
+    rng = random.Random(4)
+    texts = [fill(rng, rng.choice(STORY)) + (" “" + fill(rng, rng.choice(STORY)) + "”" if i % 3 == 0 else "") for i in range(60)]
+    read = [langtags.words_and_voice(x) for x in texts]
+    ids, voices = [field.word_ids(w) for w, _ in read], [v for _, v in read]
+    found = field.posteriors(ids)
+    assert any(v is not None for v in voices)
+    assert field.leading(ids, voices) == [int((p if v is None else p[v]).sum(0).argmax()) for p, v in zip(found, voices)]

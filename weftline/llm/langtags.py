@@ -47,7 +47,10 @@ NAMES = {
     "eng": "en", "spa": "es", "fra": "fr", "deu": "de", "ita": "it", "por": "pt", "tur": "tr", "rus": "ru", "ukr": "uk", "ara": "ar", "fas": "fa",
     "hin": "hi", "tha": "th", "zho": "zh", "jpn": "ja",
 }
-_PUNCT = re.compile("[" + re.escape(".,;:!?\"()«»„“”…؟،؛।。！？「」『』、，；：‹›—–·•|/\\<>#*[]{}=+") + "]")
+_MARKS = ".,;:!?\"()«»„“”…؟،؛।。！？「」『』、，；：‹›—–·•|/\\<>#*[]{}=+"
+_FAR_MARKS = re.compile("[" + "".join(c for c in _MARKS if not c.isascii()) + "]")
+#: ASCII marks as blanks.
+_PLAIN = bytes(32 if b < 128 and chr(b) in _MARKS else b for b in range(256))
 _SCRIPTS = (
     ("th", re.compile("[฀-๿]")), ("ja", re.compile("[぀-ヿ]")), ("zh", re.compile("[㐀-鿿]")),
     ("hi", re.compile("[ऀ-ॿ]")), ("ar", re.compile("[؀-ۿ]")), ("ru", re.compile("[Ѐ-ӿ]")),
@@ -95,15 +98,17 @@ _MASKS["latin"] = np.ones(len(LANGUAGES), np.float32)
 
 
 def words_of(text: str) -> list[str]:
-    return _PUNCT.sub(" ", text).split()
+    text = text.encode().translate(_PLAIN).decode()
+    return (text if text.isascii() else _FAR_MARKS.sub(" ", text)).split()
 
 
+_QUOTE = re.compile("[“«„「\"]")
 _QUOTED = re.compile("“[^”]*”?|«[^»]*»?|„[^“”]*[“”]?|「[^」]*」?|\"[^\"]*\"")
 
 
 def words_and_voice(text: str) -> tuple[list[str], np.ndarray | None]:
     """Words, and which of them stand outside quotations (None if all do, or none)."""
-    if not _QUOTED.search(text):
+    if not _QUOTE.search(text):
         return words_of(text), None
     words: list[str] = []
     outside: list[bool] = []
@@ -167,15 +172,15 @@ class LanguageField:
         self.__dict__.update(state)
         self.forget()
 
-    def word_ids(self, words: list[str]) -> list[int]:
+    def word_ids(self, words: list[str]) -> np.ndarray:
         ids = self.ids
         try:
-            return [ids[w] for w in words]
+            return np.fromiter(map(ids.__getitem__, words), np.int32, len(words))
         except KeyError:
             for w in words:
                 if w not in ids:
                     self._add(w)
-            return [ids[w] for w in words]
+            return np.fromiter(map(ids.__getitem__, words), np.int32, len(words))
 
     def _add(self, word: str) -> None:
         i = len(self.ids)
@@ -183,13 +188,32 @@ class LanguageField:
             self.emit = np.concatenate([self.emit, np.zeros_like(self.emit)])
         rows = [r for f in features(word) if (r := self.rows.get(f)) is not None]
         score = self.weights[rows].sum(0) if rows else np.zeros(len(LANGUAGES), np.float32)
-        self.emit[i] = np.exp(np.clip(score - score.max(), -12, 0)) * _MASKS[script_of(word)]
+        self.emit[i] = np.exp(np.maximum(score - score.max(), -12)) * _MASKS[script_of(word)]
         self.ids[word] = i
 
-    def posteriors(self, texts: list[list[int]], chunk_cells: int = 400_000) -> list[np.ndarray]:
-        """Each text's (words x languages) distributions by forward-backward; texts of like length go together."""
+    def posteriors(self, texts: list[list[int] | np.ndarray]) -> list[np.ndarray]:
+        """Each text's (words x languages) distributions."""
         out: list[np.ndarray] = [np.zeros((0, len(LANGUAGES)), np.float32)] * len(texts)
-        order = sorted((i for i, t in enumerate(texts) if t), key=lambda i: len(texts[i]))
+        for group, _, found in self._groups(texts):
+            for j, i in enumerate(group):
+                out[i] = found[:len(texts[i]), j]
+        return out
+
+    def leading(self, texts: list[np.ndarray], voices: list[np.ndarray | None]) -> list[int]:
+        """The language with the largest sum of shares over each text's words, those of its mask if it has one."""
+        out = [0] * len(texts)
+        for group, real, found in self._groups(texts):
+            for j, i in enumerate(group):
+                if voices[i] is not None:
+                    real[:len(texts[i]), j] = voices[i]
+            found *= real[:, :, None]
+            for i, top in zip(group, found.sum(0).argmax(1).tolist()):
+                out[i] = top
+        return out
+
+    def _groups(self, texts: list[list[int] | np.ndarray], chunk_cells: int = 400_000) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+        """(numbers of texts, which cells of words x texts are words, their distributions) by forward-backward; texts of like length go together."""
+        order = sorted((i for i, t in enumerate(texts) if len(t)), key=lambda i: len(texts[i]))
         at = 0
         while at < len(order):
             longest, n = len(texts[order[at]]), 0
@@ -201,12 +225,10 @@ class LanguageField:
             group = order[at:at + n]
             at += n
             longest = len(texts[group[-1]])
-            ids = np.zeros((longest, n), np.int64)
-            real = np.zeros((longest, n), bool)
-            for j, i in enumerate(group):
-                ids[:len(texts[i]), j] = texts[i]
-                real[:len(texts[i]), j] = True
-            e = self.emit[ids]
+            real = np.arange(longest)[:, None] < np.array([len(texts[i]) for i in group])
+            ids = np.zeros((n, longest), np.int32)
+            ids[real.T] = np.concatenate([texts[i] for i in group])
+            e = self.emit[ids.T]
             e[~real] = 1.0
             ahead = np.empty_like(e)
             a = e[0] / e[0].sum(1, keepdims=True)
@@ -222,9 +244,7 @@ class LanguageField:
                 b /= b.max(1, keepdims=True)
                 ahead[t] *= b
             ahead /= ahead.sum(2, keepdims=True)
-            for j, i in enumerate(group):
-                out[i] = ahead[:len(texts[i]), j]
-        return out
+            yield group, real, ahead
 
     def train(self, texts: list[list[str]], labels: list[np.ndarray], rounds: int = 12, rate: float = 0.35) -> None:
         """Ascent on the conditional likelihood of the labels (languages x words one-hot), transitions from their counts."""
@@ -320,7 +340,9 @@ _PARAGRAPH = "globaleventid long, line_no int, lang string, confidence double, n
 
 
 def _read_batch(pages: mainbody.PageModel, field: LanguageField, pdf: pd.DataFrame) -> tuple[list[tuple], list[np.ndarray], list[np.ndarray | None]]:
-    """Of a batch of articles: (row, line number, characters) of each story paragraph, its words' distributions, and its mask of words outside quotations."""
+    """Of a batch of articles: (row, line number, characters) of each story paragraph, its words' ids in the field, and its mask of words outside quotations."""
+    if len(field.ids) > 300_000:
+        field.forget()
     where, ids, voices = [], [], []
     for row, (domain, text) in enumerate(zip(pdf["domain"], pdf["text"])):
         at, story, none = pages.read(text, domain)
@@ -335,10 +357,7 @@ def _read_batch(pages: mainbody.PageModel, field: LanguageField, pdf: pd.DataFra
                     where.append((row, n, len(line)))
                     ids.append(field.word_ids(words))
                     voices.append(voice)
-    found = field.posteriors(ids)
-    if len(field.ids) > 300_000:
-        field.forget()
-    return where, found, voices
+    return where, ids, voices
 
 
 def _usable(articles: DataFrame) -> DataFrame:
@@ -355,10 +374,12 @@ def story_paragraphs(articles: DataFrame, models: tuple[mainbody.PageModel, Lang
     shared = articles.sparkSession.sparkContext.broadcast(models)
 
     def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pages, field = shared.value
         for pdf in batches:
             keys = pdf["globaleventid"].tolist()
             rows = []
-            for (row, n, _), p, voice in zip(*_read_batch(*shared.value, pdf)):
+            where, ids, voices = _read_batch(pages, field, pdf)
+            for (row, n, _), p, voice in zip(where, field.posteriors(ids), voices):
                 mean = p.mean(0) if voice is None else p[voice].mean(0)
                 top = int(mean.argmax())
                 best = p.argmax(1)
@@ -379,11 +400,12 @@ def article_languages(articles: DataFrame, models: tuple[mainbody.PageModel, Lan
     shared = articles.sparkSession.sparkContext.broadcast(models)
 
     def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pages, field = shared.value
         for pdf in batches:
             sums: dict[int, Counter] = {}
-            for (row, _, size), p, voice in zip(*_read_batch(*shared.value, pdf)):
-                top = LANGUAGES[int((p.sum(0) if voice is None else p[voice].sum(0)).argmax())]
-                sums.setdefault(row, Counter())[top] += size
+            where, ids, voices = _read_batch(pages, field, pdf)
+            for (row, _, size), top in zip(where, field.leading(ids, voices)):
+                sums.setdefault(row, Counter())[LANGUAGES[top]] += size
             at = list(sums)
             yield pd.DataFrame({
                 "globaleventid": pdf["globaleventid"].to_numpy()[at], "label": pdf["article_language"].to_numpy()[at],
